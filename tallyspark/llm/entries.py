@@ -1,9 +1,10 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import quality
+from . import bpe, quality
 
 QUERIES = {
     "op4_quality_rules": quality.op4,
+    "op10_byte_bpe": bpe.op10,
 }
 
 ORACLE_SQL = {
