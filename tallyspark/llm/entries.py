@@ -1,8 +1,9 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, quality
+from . import bpe, mixing, quality
 
 QUERIES = {
+    "op2_mixing": mixing.op2,
     "op4_quality_rules": quality.op4,
     "op10_byte_bpe": bpe.op10,
 }
