@@ -1,10 +1,12 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, near_dups, pii, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2,
+    "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
+    "op9_order_minhash": near_dups.op9,
     "op10_byte_bpe": bpe.op10,
 }
 
