@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of a task holds as arrays; a longer document makes a step of its own.
 CHUNK_BYTES = 4 << 20
+BATCH_BYTES = 32 << 20
 
 U64 = np.uint64
 
@@ -28,18 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``BATCH_BYTES``, too, where the session sets no bound: long texts make large rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "2147483647")) == 2147483647:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank`` from 0 in the given order: a range sort, then each part's offset."""
+    kept = store(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    parts = sorted((r["__part"], r["n"], r["low"]) for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low")).collect())
+    offset, cases = 0, []
+    for part, n, low in parts:  # one for each part of the sort, not for each row
+        cases.append(f"WHEN {part} THEN {offset - low}L")
+        offset += n
+    shift = F.expr("CASE __part " + " ".join(cases) + " END") if cases else F.lit(0)
+    return kept.withColumn("rank", (F.col("__row") + shift).cast("long")).drop("__part", "__row")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each holds about ``limit`` bytes at most, or is one row."""
     for batch in batches:

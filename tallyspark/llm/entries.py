@@ -1,8 +1,9 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, near_dups, pii, quality
+from . import bpe, embeddings, mixing, near_dups, pii, quality
 
 QUERIES = {
+    "op1_embedding_near_dups": embeddings.op1,
     "op2_mixing": mixing.op2,
     "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
@@ -11,5 +12,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_near_dups": embeddings.OP1_SQL,
     "op4_quality_rules": quality.OP4_SQL,
 }

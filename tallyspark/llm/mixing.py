@@ -23,23 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, store, table
+from .common import WORD, ranked, store, table
 
 FAN_OUT = 8
 
 
-def ranked(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``rank`` from 0 in the given order: a range sort, then each part's offset."""
-    kept = store(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
-    parts = sorted((r["__part"], r["n"], r["low"]) for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low")).collect())
-    offset, cases = 0, []
-    for part, n, low in parts:  # one for each part of the sort, not for each row
-        cases.append(f"WHEN {part} THEN {offset - low}L")
-        offset += n
-    shift = F.expr("CASE __part " + " ".join(cases) + " END") if cases else F.lit(0)
-    return kept.withColumn("rank", (F.col("__row") + shift).cast("long")).drop("__part", "__row")
-
-
 def water_filled(sources: DataFrame, budget: float, total: float) -> DataFrame:
     """``sources`` (with ``weight`` and ``cap``) with ``target``: shares of the budget by weight, where
     whatever is above a cap is shared again by weight. Each round is one small aggregation."""
