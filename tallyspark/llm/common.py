@@ -100,9 +100,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a text column: byte bounds in ``data`` and, for each text, its range of words."""
 
-    def __init__(self, column: pa.Array):
-        self.data, offsets = text_bytes(column)
-        data = self.data
+    def __init__(self, column: pa.Array | None = None, data: np.ndarray | None = None):
+        """Of a string column, or of the bytes of one text."""
+        data, offsets = text_bytes(column) if column is not None else (data, np.array([0, len(data)]))
+        self.data = data
         solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
         first = solid.copy()
         first[1:] &= ~solid[:-1]

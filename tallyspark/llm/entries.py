@@ -1,12 +1,13 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, embeddings, mixing, near_dups, pii, quality
+from . import bpe, embeddings, mixing, near_dups, pii, quality, substrings
 
 QUERIES = {
     "op1_embedding_near_dups": embeddings.op1,
     "op2_mixing": mixing.op2,
     "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
+    "op7_super_kmers": substrings.op7,
     "op9_order_minhash": near_dups.op9,
     "op10_byte_bpe": bpe.op10,
 }
@@ -14,4 +15,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_embedding_near_dups": embeddings.OP1_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op7_super_kmers": substrings.OP7_SQL,
 }
