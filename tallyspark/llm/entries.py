@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, embeddings, mixing, near_dups, pii, quality, substrings
+from . import bpe, embeddings, mixing, near_dups, pii, quality, substrings, suffixes
 
 QUERIES = {
     "op1_embedding_near_dups": embeddings.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
     "op7_super_kmers": substrings.op7,
+    "op8_suffix_array": suffixes.op8,
     "op9_order_minhash": near_dups.op9,
     "op10_byte_bpe": bpe.op10,
 }
