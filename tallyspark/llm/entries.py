@@ -1,12 +1,14 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from . import bpe, embeddings, mixing, near_dups, pii, quality, substrings, suffixes
+from . import bpe, embeddings, licenses, mixing, near_dups, packing, pii, quality, substrings, suffixes
 
 QUERIES = {
     "op1_embedding_near_dups": embeddings.op1,
     "op2_mixing": mixing.op2,
     "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
+    "op5_packing": packing.op5,
+    "op6_license_scan": licenses.op6,
     "op7_super_kmers": substrings.op7,
     "op8_suffix_array": suffixes.op8,
     "op9_order_minhash": near_dups.op9,
