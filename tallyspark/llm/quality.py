@@ -31,7 +31,7 @@ RULES = (
     ("short_mean_word", lambda m: m("word_chars") < 2 * m("n_words")),
     ("long_mean_word", lambda m: m("word_chars") > 15 * m("n_words")),
     ("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    ("repeated_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    ("repeated_lines", lambda m: 100 * m("n_dup_lines") > 50 * m("n_lines")),
     ("capitals", lambda m: 100 * m("n_upper") > 60 * m("n_letters")),
 )
 BASE = 0b00000011
@@ -162,7 +162,7 @@ a AS (SELECT m.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0)
 b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
         + CASE WHEN n_words > 200000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
         + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 32 ELSE 0 END
-        + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 64 ELSE 0 END
+        + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 64 ELSE 0 END
         + CASE WHEN 100 * n_upper > 60 * n_letters THEN 128 ELSE 0 END)::BIGINT AS failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
