@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from .common import store
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id above some other (u > v) has one link and is below none."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id that ``links`` (a, b: long) has: the least id that links reach.
 
     Each round hooks all neighbours of an id to its least neighbour: first those above the id
     (large star), then those below (small star). Least neighbours come from a pre-aggregated
     minimum and go back by a join, so a hub's links are never in one group. Rounds end when the
-    links have become stars; a path of n ids takes about log n of them. Each round is stored.
+    links are stars; a path of n ids takes about log n of them. Each round is stored.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = store(edges, "links")
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("v", "m").filter("v <> m").toDF("u", "v").unionByName(least.toDF("u", "v")).distinct()
-        edges = store(small, "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = store(small.unionByName(least.toDF("u", "v")).distinct(), "stars")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
