@@ -133,6 +133,11 @@ def _iban(f: Feistel, text: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def _ends(text: str) -> list[str]:
+    """``text`` and its beginnings that end before a blank, the longest first: the words behind an IBAN match, too."""
+    return [text, *(text[:k] for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
+
+
 def _date(f: Feistel, text: str) -> str | None:
     cut = re.split("[./-]", text)
     try:
@@ -204,15 +209,18 @@ def pseudonymise(text: str | None, feistel: Feistel, seen: dict[tuple[str, str],
     out, done, at = [], 0, 0
     while m := _FIND.search(text, at):
         kind, value = m.lastgroup, m[0]
-        if (kind, value) not in seen:
-            seen[kind, value] = _CHANGE[kind](feistel, value)
-        new = seen[kind, value]
+        for value in _ends(value) if kind == "iban" else (value,):
+            if (kind, value) not in seen:
+                seen[kind, value] = _CHANGE[kind](feistel, value)
+            new = seen[kind, value]
+            if new is not None:
+                break
         if new is None:  # no valid value starts here
             at = _RUN.match(text, m.start()).end()
             continue
         out += [text[done : m.start()], new]
         counts[KINDS.index(kind)] += 1
-        done = at = m.end()
+        done = at = m.start() + len(value)
     return ("".join([*out, text[done:]]) if out else text), counts
 
 
