@@ -5,12 +5,16 @@ A template belongs to the smallest window size of which it fills three quarters
 a size start every quarter of it, so each occurrence lies in one of them as a whole. With at least
 ``CONTAINED`` of the template's shingles inside, the Jaccard similarity of window and template is at
 least ``least_similarity``; ``BANDS`` bands of one row then collide with a probability of
-``collision_probability`` (over 0.9999). Exact containment decides. The templates are a small table of
-fixed size, and the job is map-only.
+``collision_probability`` (over 0.9999). Exact containment decides, and
+of a versioned license every pair of words that ends with a family's name or a version (``telling``)
+must be there, too: the members of a family differ in these only. A text too long for a window is several
+templates of one number. The templates are a small table of fixed size, and the job is map-only.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,23 +53,57 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
 )
 
+#: Words that name a member of a family; of versioned licenses, numbers do, too.
+NAMES = frozenset("general lesser affero mit isc apache mpl epl gpl lgpl agpl bsd by nc sa nd attribution sharealike noncommercial noderivatives".split())
+VERSIONED = ("GPL", "LGPL", "AGPL", "Apache", "CC-", "CC0", "MPL", "EPL")
+WORD = re.compile(r"[^\W_]+")
+IDENTIFIER = "SPDX-License-Identifier:"
+
 #: Letters in lower case; ASCII signs that are neither letter nor digit part words.
 _PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
-def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts in a row, which of them lie in one text, and each text's range of words."""
+def telling(name: str, text: str) -> set[tuple[str, str]]:
+    """The pairs of words of a template that tell it from others of its family."""
+    found = WORD.findall(text.lower())
+    number = lambda w: name.startswith(VERSIONED) and re.fullmatch("v?[0-9]+", w)
+    clause = lambda w: text.startswith(IDENTIFIER) and re.fullmatch("[0-9]+", w)
+    return {(a, b) for a, b in zip(found, found[1:]) if b in NAMES or a == "neither" or number(b) or clause(b)}
+
+
+def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts in a row, which of them lie in one text, each text's range of words, and hashes of the pairs of words."""
     data, offsets = text_bytes(column)
     plain = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_PLAIN[data].tobytes()))
     words = Words(plain)
-    h = rolling(np.r_[words.hashes(), np.zeros(SHINGLE - 1, U64)], SHINGLE)[: len(words.starts)]
+    single = np.r_[words.hashes(), np.zeros(SHINGLE - 1, U64)]
+    h, pairs = rolling(single, SHINGLE)[: len(words.starts)], rolling(single, 2)[: len(words.starts)]
     own = np.ones(len(h), bool)
     for k in range(1, SHINGLE):
         last = words.bounds[1:] - k
         own[last[(last >= words.bounds[:-1])]] = False
-    return h, own, words.bounds
+    return h, own, words.bounds, pairs
 
 
 def size_of(n_words: int) -> int:
@@ -76,18 +114,19 @@ def size_of(n_words: int) -> int:
 def least_similarity(n_words: int) -> float:
     """The Jaccard similarity that a contained template's window has at least."""
     own = n_words - SHINGLE + 1
-    return CONTAINED * own / (size_of(n_words) + (1 - CONTAINED) * own)
+    inside = math.ceil(CONTAINED * own - 1e-9)
+    return inside / (size_of(n_words) + own - inside)
 
 
 def collision_probability(similarity: float) -> float:
     return 1 - (1 - similarity) ** BANDS
 
 
-def _best(rows: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
-    """Of occurrences that overlap, the one with the highest containment, then the longest: a notice of
-    version 3 holds most of version 2's, and a license's header holds its short notice."""
+def _best(rows: list[tuple[int, int, int, int, float]], sizes: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """Of occurrences that overlap, the one with most shingles found, then the highest containment: a license's
+    header holds its short notice, and three clauses, one of them with another name, hold two."""
     kept: dict[int, list[tuple[int, int, int, int, float]]] = {}
-    for row in sorted(rows, key=lambda r: (-r[4], -r[3], r)):
+    for row in sorted(rows, key=lambda r: (-round(r[4] * sizes[r[1]]), -r[4], r)):
         own = kept.setdefault(row[0], [])
         if all(row[2] >= o[2] + o[3] or o[2] >= row[2] + row[3] for o in own):
             own.append(row)
@@ -96,19 +135,33 @@ def _best(rows: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int,
 
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.names = [n for n, _ in templates]
-        h, own, bounds = _shingles(pa.array([t for _, t in templates]))
+        most = 3 * SIZES[-1] // 4
+        pieces = [(k, piece) for k, (_, t) in enumerate(templates) for piece in self._cut(t, most)]
+        self.origin = [k for k, _ in pieces]
+        h, own, bounds, _ = _shingles(pa.array([t for _, t in pieces]))
         self.sets = [np.unique(h[a:b][own[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.words = np.diff(bounds)
-        if min(self.words) < SHINGLE or 4 * max(self.words) > 3 * SIZES[-1]:
-            raise ValueError(f"templates have {SHINGLE} to {3 * SIZES[-1] // 4} words")
+        if min(self.words) < SHINGLE:
+            raise ValueError(f"templates have {SHINGLE} words at least")
+        marks = [sorted(telling(templates[k][0], t)) for k, t in pieces]
+        flat = _shingles(pa.array([f"{x} {y}" for m in marks for x, y in m], pa.string()))[3][::2]
+        ends = np.cumsum([0, *map(len, marks)])
+        self.marks = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.by_size = {s: [k for k, n in enumerate(self.words) if size_of(n) == s] for s in SIZES}
         self.seeds = mix(np.arange(1, BANDS + 1, dtype=U64))
         self.least = [np.array([mix(x ^ seed).min() for x in self.sets]) for seed in self.seeds]
 
+    @staticmethod
+    def _cut(text: str, most: int) -> list[str]:
+        """The text, or pieces of about equal length if it has more than ``most`` words."""
+        at = [m.start() for m in WORD.finditer(text)]
+        n = max(1, -(-len(at) // most))
+        cuts = [at[len(at) * k // n] for k in range(1, n)]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
     def scan(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, template, first word, words, containment) of all occurrences."""
-        h, own, bounds = _shingles(column)
+        h, own, bounds, pairs = _shingles(column)
         most = np.iinfo(np.uint64).max
         near: set[tuple[int, int, int]] = set()
         for seed, least in zip(self.seeds, self.least, strict=True):
@@ -131,7 +184,7 @@ class Templates:
             for text in np.unique(np.searchsorted(bounds, inside, side="right") - 1).tolist():
                 hits = inside[(inside >= bounds[text]) & (inside < bounds[text + 1])]
                 share = len(np.unique(h[hits])) / len(self.sets[k])
-                if share >= CONTAINED:
+                if share >= CONTAINED and np.isin(self.marks[k], pairs[hits[0] : hits[-1] + SHINGLE - 1]).all():
                     found.setdefault((text, k), []).append((int(hits[0] - bounds[text]), int(hits[-1] + SHINGLE - bounds[text]), share))
         out = []
         for (text, k), spans in found.items():
@@ -144,7 +197,7 @@ class Templates:
                     out.append((text, k, first, end - first, best))
                 first, end, best = a, b, share
             out.append((text, k, first, end - first, best))
-        return _best(out)
+        return [(t, self.origin[k], *rest) for t, k, *rest in _best(out, [len(x) for x in self.sets])]
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
