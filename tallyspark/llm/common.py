@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of a task holds as arrays; a longer document makes a step of its own.
 CHUNK_BYTES = 4 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
+#: Stands for a null id.
+LEAST_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -51,6 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``rank`` from 0 in the given order: a range sort, then each part's offset."""
     kept = store(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
@@ -180,17 +193,3 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
         done *= 2
     rest = width - done
     return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
-
-
-def minimiser_runs(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows of ``width`` hashes that have the same leftmost minimum.
-
-    Returns each run's first window, its number of windows and the minimiser's position.
-    Needs fewer than 2**28 hashes.
-    """
-    pos = np.arange(len(hashes), dtype=U64)
-    least = sliding_min((hashes & U64(0xFFFFFFFFF0000000)) | pos, width) & U64(0x0FFFFFFF)
-    if not len(least):
-        return (np.empty(0, np.int64),) * 3
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return first, np.diff(np.r_[first, len(least)]), least[first].astype(np.int64)
