@@ -6,8 +6,14 @@ DuckDB table. A recursive query joins them to the merge table and contracts, in
 leftmost pair of least rank, until no pair is left. A piece's ids don't depend on what stands
 around it, so a bounded cache of the worker keeps them.
 
-Null and empty texts have no ids. Any other columns travel along unchanged; repeated rows are
-encoded each by itself.
+The recursion keeps a row for each token of each step, so a query takes as many pieces as make about
+``QUERY_ROWS`` rows. Pieces of more than ``LONG_PIECE`` bytes (a run of one sign, say) leave the query: they would
+make about half the square of their bytes in rows, over as many steps. A heap contracts the same pairs in the same
+order there.
+
+Null and empty texts have no ids. Texts may have any length: long ones are cut, encoded and decoded piece by piece, in
+blocks. Any other columns travel along unchanged; repeated rows are encoded each by itself; ids may be null. An empty table
+gives an empty table. If a new column's name is taken, it gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, free_name, table
 
 #: Pieces of more bytes than this are merged with a heap: the query takes a step for each contraction,
 #: and such a piece (a run of one sign, say) would need hundreds.
 LONG_PIECE = 256
-#: Pieces whose ids a worker keeps, and pieces that go into one recursive query.
-CACHE_PIECES, QUERY_PIECES = 600_000, 50_000
+#: Pieces whose ids a worker keeps and bytes of their texts, and rows that one recursive query may make.
+CACHE_PIECES, CACHE_BYTES, QUERY_ROWS = 600_000, 16 << 20, 2_000_000
+#: Bytes of text from which a text is cut into pieces block by block, pieces of a block, and ids that are decoded at once.
+LONG_TEXT, BLOCK_PIECES, BLOCK_IDS = 4 << 20, 200_000, 1 << 20
 
 #: A token is (piece, pos, stop, id, nxt): it covers bytes pos to stop, nxt is the id at stop (-1: none).
 #: Contracting the pair at ``hit`` drops its left token and widens its right one, which knows its own nxt.
@@ -73,9 +82,10 @@ class Codec:
 
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(x): int(r) for x, r in (line.split() for line in file if line.strip())}
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -126,51 +136,86 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of these pieces into the cache."""
-        short: list[tuple[str, bytes]] = []
+        short: list[tuple[int, str, bytes]] = []
         for piece in pieces:
             raw = piece.encode()
+            self.held += len(raw)
             if (whole := self.ranks.get(raw)) is not None:
                 self.cache[piece] = whole.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
                 self.cache[piece] = np.array(self._heap(raw), "<u4").tobytes()
             else:
-                short.append((piece, raw))
-        for at in range(0, len(short), QUERY_PIECES):
-            part = short[at : at + QUERY_PIECES]
-            self.cache.update(zip((p for p, _ in part), self._contract([raw for _, raw in part]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.find(t) if t else [] for t in texts]
+                short.append((len(raw), piece, raw))
+        short.sort()
+        at = 0
+        while at < len(short):
+            end, rows = at, 0
+            while end < len(short) and (end == at or rows + short[end][0] * (short[end][0] + 1) // 2 <= QUERY_ROWS):
+                rows += short[end][0] * (short[end][0] + 1) // 2  # at most: one token less in each step
+                end += 1
+            part = short[at:end]
+            self.cache.update(zip((p for _, p, _ in part), self._contract([raw for _, _, raw in part]), strict=True))
+            at = end
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pieces."""
         new = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_PIECES:
+        if len(self.cache) + len(new) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
             new = set().union(*cut)
         self.learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        texts = [t or "" for t in texts]
+        out = self._ids([self.pattern.findall(t) if len(t) <= LONG_TEXT else [] for t in texts])
+        for k, text in enumerate(texts):
+            if len(text) > LONG_TEXT:
+                matches, parts = self.pattern.finditer(text), []
+                while pieces := [m[0] for m in islice(matches, BLOCK_PIECES)]:
+                    parts += self._ids([pieces])
+                out[k] = b"".join(parts)
+        return out
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Each id sequence's bytes."""
-        n = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        out: list[list[bytes]] = [[] for _ in ids]
+        held, size = [], 0
+        for k, x in enumerate(ids):
+            for at in range(0, len(x), 4 * BLOCK_IDS):
+                part = x[at : at + 4 * BLOCK_IDS]
+                if held and size + len(part) > 4 * BLOCK_IDS:
+                    self._decode(held, out)
+                    held, size = [], 0
+                held.append((k, part))
+                size += len(part)
+        if held:
+            self._decode(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _decode(self, some: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Add the bytes of (number, ids) to ``out`` at that number."""
+        n = np.array([len(x) // 4 for _, x in some], np.int64)
+        flat = np.frombuffer(b"".join(x for _, x in some), "<u4").astype(np.int32)
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        self.con.register("tokens", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), n), "pos": pos, "id": flat}))
+        self.con.register("tokens", pa.table({"doc": np.repeat(np.arange(len(some), dtype=np.int32), n), "pos": pos, "id": flat}))
         got = self.con.sql(DECODE_SQL).to_arrow_table()
         self.con.unregister("tokens")
-        out = [b""] * len(ids)
         for batch in got.to_batches():
             parts = batch["parts"]
             flat_parts, at = parts.flatten(), (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
             ends = np.frombuffer(flat_parts.buffers()[1], np.int32)[flat_parts.offset : flat_parts.offset + len(flat_parts) + 1]
             data = flat_parts.buffers()[2].to_pybytes() if flat_parts.buffers()[2] else b""
             for k, doc in enumerate(batch["doc"].to_pylist()):
-                out[doc] = data[ends[at[k]] : ends[at[k + 1]]]
-        return out
+                out[some[doc][0]].append(data[ends[at[k]] : ends[at[k + 1]]])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``: the text's ids as a binary of little-endian unsigned 32-bit integers. Map-only."""
+    ids_col = free_name(ids_col, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -183,6 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``coded`` with ``out_col``: the bytes that the ids stand for (null ids: empty). Map-only."""
+    out_col = free_name(out_col, coded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
