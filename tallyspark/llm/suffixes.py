@@ -2,20 +2,24 @@
 
 A window is ``WINDOW`` consecutive bytes of one text. Consecutive windows with the same minimiser (the
 leftmost least hash among their ``GRAM``-byte grams) are a segment; equal windows have equal minimisers
-in the same place, so they lie in segments of the same fingerprint, and no two windows of one segment
+at the same offset, so they lie in segments of the same fingerprint, and no two windows of one segment
 are equal. Segments first travel as fingerprint and digest only:
 
 * segments with equal digests are copies, and all their windows repeat;
 * a fingerprint with one kind of segment has no other repeats;
-* of the rest, one segment of each kind is fetched from its text and sent to its fingerprint's bucket.
+* of the rest, windows that begin up to ``HALF`` bytes before the minimiser share ``CONTEXT`` bytes behind it,
+  the others as many before it. A half whose context recurs in another kind is fetched once for each kind
+  and sent to the bucket of its fingerprint and context.
 
-A bucket's segments are one text with separators. Its suffix array is built in two stages: the suffixes
+A bucket's strings are one text with separators. Its suffix array is built in two stages: the suffixes
 smaller than their successors are sorted directly (to ``WINDOW`` bytes), the rest is induced from them
 by one scan over the buckets of first bytes. Neighbours with a common prefix of ``WINDOW`` bytes repeat.
 
-A fingerprint with more than ``HOT_KINDS`` kinds of segments (the rim of a passage that very many
-documents share) would fill a bucket by itself; its windows travel as digests to buckets of their own
-and are counted there.
+A fingerprint with more than ``HOT_KINDS`` kinds (the rim of a passage that very many documents share) would
+fill a bucket by itself. Its strings are cut anew, in parts of ``PARTS`` windows by their offset from the
+minimiser; all windows of a part share nearly all their bytes, which are the part's fingerprint. Parts
+are told apart as segments are, and those that recur in other forms are sorted; what is hot even then is cut in
+single windows, which have no other form.
 """
 
 from __future__ import annotations
@@ -25,41 +29,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, joined, mix, rolling, sliding_min, store, table, text_bytes
+from .common import LEAST_ID, U64, joined, mix, rolling, sliding_min, store, table, text_bytes
 
 WINDOW, GRAM = 400, 32
-#: Bytes of segments for a bucket, and kinds of segments from which a fingerprint's windows travel by digest.
-BUCKET_BYTES, HOT_KINDS = 1 << 20, 4096
+#: Bytes before the minimiser up to which a window belongs to the first half of its segment, and grams of context.
+HALF, CONTEXT = (WINDOW - GRAM) // 2, 5 * GRAM
+#: Bytes of text for a step, bytes of strings for a bucket, and kinds from which a fingerprint is cut anew (so many
+#: strings fit in a bucket).
+STEP_BYTES, BUCKET_BYTES, HOT_KINDS = 2 << 20, 1 << 19, 512
+#: Suffixes whose keys are in memory at once, about.
+SORT_STEP = 20_000
+#: Windows of a part when a hot fingerprint is cut for the first and for the second time.
+PARTS = (16, 1)
 
 _SPREAD = mix(np.arange(1, 257, dtype=U64))
 
 
-def segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each segment: its text, first byte there, number of windows, fingerprint, and first byte in all."""
-    data, offsets = text_bytes(column)
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each segment of texts with these bytes: its text, first byte in all, number of windows, minimiser's
+    place in all, fingerprint, and the contexts behind and before the minimiser (0 where no window has them)."""
     n = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
-    text = np.repeat(np.arange(len(n)), n)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
     if not len(text):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, U64), np.empty(0, np.int64))
-    at = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][text]
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, U64),) * 3
+    at = np.arange(len(text)) + (offsets[:-1] - np.cumsum(n) + n)[text]
     grams = rolling(_SPREAD[data], GRAM)
     low = U64(0x0FFFFFFF)
-    least = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=U64), WINDOW - GRAM + 1) & low)[at]
+    least = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=U64), WINDOW - GRAM + 1) & low)[at].astype(np.int64)
     first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
-    return text[first], at[first] - offsets[:-1][text[first]], np.diff(np.r_[first, len(at)]), grams[least[first].astype(np.int64)], at[first]
+    size, mark, begin = np.diff(np.r_[first, len(at)]), least[first], at[first]
+    behind, before = mix(grams[mark] + U64(1)), mix(grams[mark] + U64(2))
+    for k in range(1, CONTEXT // GRAM + 1):
+        behind += grams[np.minimum(mark + k * GRAM, len(grams) - 1)] * U64(2 * k + 1)
+        before += grams[np.maximum(mark - k * GRAM, 0)] * U64(2 * k + 1)
+    behind[begin + size - 1 < mark - HALF] = 0
+    before[begin >= mark - HALF] = 0
+    return text[first], begin, size, mark, grams[mark], behind, before
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Rows with their bytes, each text's range of them, and the place of the first byte: a long text comes in slices
+    that overlap so that each window is in one of them."""
+    for batch in joined(batches, limit=STEP_BYTES):
+        data, offsets = text_bytes(batch["text"])
+        if batch.num_rows > 1 or len(data) < 2 * STEP_BYTES:
+            yield batch, data, offsets, 0
+            continue
+        for at in range(0, len(data) - WINDOW + 1, STEP_BYTES):
+            part = data[at : at + STEP_BYTES + WINDOW - 1]
+            yield batch, part, np.array([0, len(part)]), at
+
+
+LISTED = "print long, kind long, n long, id long, digest long, start int, size int, mark int"
 
 
 def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in joined(batches):
-        text, start, size, print_, at = segments(batch["text"])
-        data = text_bytes(batch["text"])[0].tobytes()
-        kinds = np.frombuffer(b"".join(hashlib.blake2b(data[a : a + s + WINDOW - 1], digest_size=8).digest() for a, s in zip(at.tolist(), size.tolist(), strict=True)), np.int64)
-        take = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(kinds), batch["id"].take(take), batch["digest"].take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["print", "kind", "id", "digest", "start", "size"])
+    for batch, data, offsets, skipped in _steps(batches):
+        text, begin, size, mark, print_, behind, before = segments(data, offsets)
+        raw = data.tobytes()
+        kinds = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), (begin + size + WINDOW - 1).tolist(), strict=True)]), np.int64)
+        take, own = pa.array(text), skipped - offsets[:-1][text]
+        contexts = [pa.array(x.view(np.int64), mask=x == 0) for x in (behind, before)]
+        cols = [pa.array(print_.view(np.int64)), pa.array(kinds), pa.array(np.ones(len(text), np.int64)), batch["id"].take(take), batch["digest"].take(take)]
+        cols += [pa.array(x.astype(np.int32)) for x in (begin + own, size, mark + own)]
+        yield pa.RecordBatch.from_arrays([*cols, *contexts], ["print", "kind", "n", "id", "digest", "start", "size", "mark", "behind", "before"])
+
+
+def _sorted(t: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """These suffixes of ``t`` in order of their first ``WINDOW`` bytes: by the first eight as numbers, then, of those
+    that agree in them, by the rest; about ``SORT_STEP`` at a time, so that few keys are in memory."""
+    data = t.tobytes()
+    heads = np.ndarray(len(t), ">u8", data + bytes(8), strides=(1,))[some].astype(U64)
+    order = np.argsort(heads, kind="stable")
+    some, heads = some[order], heads[order]
+    same = heads[1:] == heads[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if not len(tied):
+        return some
+    first = np.flatnonzero(np.r_[True, heads[tied][1:] != heads[tied][:-1]])
+    cuts = [*first[np.unique(np.searchsorted(first, np.arange(0, len(tied), SORT_STEP)))[:-1]].tolist(), len(tied)] if len(tied) > SORT_STEP else [0, len(tied)]
+    places = some[tied]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        places[a:b] = sorted(places[a:b].tolist(), key=lambda i: data[i : i + WINDOW])
+    some[tied] = places
+    return some
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -76,10 +132,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     inner = where < n - 1
     smaller[inner] = t[where[inner]] < t[where[inner] + 1]
 
-    data = t.tobytes()
-    direct = np.flatnonzero(smaller & (t > 0)).tolist()
-    direct.sort(key=lambda i: data[i : i + WINDOW])
-    direct = np.array(direct, np.int64)
+    direct = _sorted(t, np.flatnonzero(smaller & (t > 0)))
     marks = np.flatnonzero(smaller & (t == 0))
     cuts = np.searchsorted(t[direct], np.arange(257))
 
@@ -155,98 +208,136 @@ def _runs(ids, digests, starts: list[np.ndarray]) -> pa.Table:
 
 
 def _sort(group: pa.Table) -> pa.Table:
-    """Repeated windows of the single segments of a bucket; strings of several fingerprints are sorted together."""
-    rows = {(r["print"], r["kind"]): r for r in group.to_pylist()}  # a repeated row is fetched more than once
-    rows = list(rows.values())
+    """Repeated windows of the single strings of a bucket; strings of several fingerprints are sorted together."""
+    rows = list({(r["print"], r["kind"]): r for r in group.to_pylist()}.values())  # a repeated row is fetched more than once
     found = repeats([r["bytes"] for r in rows])
     some = [k for k, r in enumerate(rows) if r["n"] == 1]
     return _runs([rows[k]["id"] for k in some], [rows[k]["digest"] for k in some], [found[k] + rows[k]["start"] for k in some])
 
 
-def _tally(group: pa.Table) -> pa.Table:
-    """Repeated windows among digests of hot fingerprints' windows."""
-    kind = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("digest", "<i8"), ("at", "<i8"), ("n", "<i8")])
-    rows = np.unique(np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), kind) for x in group["windows"]]))
-    _, which, times = np.unique(rows[["a", "b"]], return_inverse=True, return_counts=True)
-    rows = rows[(times[which] > 1) & (rows["n"] == 1)]
-    return pa.table({"id": rows["id"], "digest": rows["digest"], "start": rows["at"].astype(np.int32), "size": np.ones(len(rows), np.int32)})
+def _asked(src: DataFrame, asked: DataFrame) -> DataFrame:
+    """Texts (id, digest, text) with the strings that are asked of each, as a table."""
+    ask = F.struct("print", "kind", "n", "start", "size", "mark", "hot")
+    asks = asked.groupBy("id", "digest").agg(F.collect_list(ask).alias("asks"), F.max("hot").alias("hot"))
+    return store(src.join(asks, ["id", "digest"]).select("id", "digest", "text", "asks", "hot"), "asked")
+
+
+def _each_ask(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[Iterator[tuple[int, int, bytes, dict]]]:
+    for batch in joined(batches, limit=STEP_BYTES):
+        texts = zip(*(batch[c].to_pylist() for c in ("id", "digest", "text", "asks")), strict=True)
+        yield ((i, d, raw, q) for i, d, text, wanted in texts for raw in (text.encode(),) for q in wanted if q["hot"] == hot)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of fingerprints that aren't hot."""
+    for asks in _each_ask(batches, False):
+        rows = [(q["print"], q["kind"], q["n"], i, d, q["start"], raw[q["start"] : q["start"] + q["size"] + WINDOW - 1]) for i, d, raw, q in asks]
+        types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["print", "kind", "n", "id", "digest", "start", "bytes"])
+
+
+def _cut(width: int):
+    """Parts of ``width`` windows of the strings of hot fingerprints, as segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asks in _each_ask(batches, True):
+            rows = []
+            for i, d, raw, q in asks:
+                mark, last = q["mark"], q["start"] + q["size"] - 1
+                for k in range((mark - last) // width, (mark - q["start"]) // width + 1):
+                    a, b = max(q["start"], mark - k * width - width + 1), min(last, mark - k * width)
+                    core = mark - k * width  # all windows of the part have the bytes from here on
+                    part = hashlib.blake2b(raw[core : core + WINDOW + 1 - width], digest_size=8, salt=q["print"].to_bytes(8, "little", signed=True), person=k.to_bytes(8, "little")).digest()
+                    form = hashlib.blake2b(raw[a : b + WINDOW], digest_size=8).digest()
+                    rows.append((int.from_bytes(part, "little", signed=True), int.from_bytes(form, "little", signed=True), q["n"], i, d, a, b - a + 1, mark))
+            types = [pa.int64()] * 5 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in LISTED.split(", ")])
+
+    return run
+
+
+def _forms(listed: DataFrame, *more: str) -> DataFrame:
+    """One row for each kind of each fingerprint: how often it comes and one place of it."""
+    of = F.min(F.struct("id", "digest", "start", "size", "mark")).alias("of")
+    return listed.groupBy("print", "kind").agg(F.sum("n").alias("n"), of, *(F.min(c).alias(c) for c in more))
+
+
+def _several(forms: DataFrame) -> DataFrame:
+    """The kinds of fingerprints that have several, with their number."""
+    return forms.join(forms.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "print")
+
+
+def _copies(listed: DataFrame, forms: DataFrame) -> DataFrame:
+    return listed.join(forms.filter("n > 1").select("print", "kind"), ["print", "kind"], "left_semi").select("id", "digest", "start", "size")
+
+
+def _settled(parts: DataFrame, src: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """Repeated windows of parts (``LISTED``, one row for each kind) that have equal windows in other kinds."""
+    asked = store(_several(parts).withColumn("hot", F.col("kinds") > (HOT_KINDS if widths else (1 << 62))), "several")
+    volume = asked.agg(F.sum(F.when(~F.col("hot"), F.col("size") + WINDOW - 1)).alias("cold"), F.max("hot").alias("hot")).first()
+    buckets = max(1, -(-(volume["cold"] or 0) // BUCKET_BYTES))
+    texts = _asked(src, asked)
+    strings = texts.select("id", "digest", "text", "asks").mapInArrow(_fetch, "print long, kind long, n long, id long, digest long, start int, bytes binary")
+    out = strings.withColumn("bucket", F.pmod("print", F.lit(buckets))).groupBy("bucket").applyInArrow(_sort, RUNS)
+    if volume["hot"]:
+        crowded = texts.filter("hot")
+        listed = store(crowded.select("id", "digest", "text", "asks").mapInArrow(_cut(widths[0]), LISTED).distinct(), "parts")
+        forms = store(_forms(listed), "forms")
+        out = out.unionByName(_copies(listed, forms)).unionByName(_settled(forms.select("print", "kind", "n", "of.*"), crowded.select("id", "digest", "text"), widths[1:]))
+    return out
 
 
 def repeated_bytes(src: DataFrame) -> DataFrame:
     """Runs (id, digest, start, size) of windows that occur elsewhere, for ``src`` (id, digest, text)."""
-    listed = store(src.mapInArrow(_list_segments, "print long, kind long, id long, digest long, start int, size int"), "segments")
-    kinds = listed.groupBy("print", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "start", "size")).alias("of"))
-    prints = kinds.groupBy("print").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = store(kinds.join(prints, "print").filter("n > 1 OR kinds > 1"), "kinds")
-    copied = listed.join(kinds.filter("n > 1").select("print", "kind"), ["print", "kind"], "left_semi").select("id", "digest", "start", "size")
-
-    asked = kinds.filter("kinds > 1")
-    volume = asked.agg(F.sum(F.when(F.col("kinds") <= HOT_KINDS, F.col("of.size") + WINDOW - 1)).alias("cold"), F.sum(F.when(F.col("kinds") > HOT_KINDS, F.col("of.size"))).alias("hot")).first()
-    buckets = max(1, -(-(volume["cold"] or 0) // BUCKET_BYTES))
-    hot_buckets = max(1, -(-(volume["hot"] or 0) // 200_000))
-    ask = F.struct("print", "kind", "n", (F.col("kinds") > HOT_KINDS).alias("hot"), "of.start", "of.size")
-    asks = asked.groupBy("of.id", "of.digest").agg(F.collect_list(ask).alias("asks"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments of cold fingerprints one by one, hot windows packed by bucket (which is then negative)."""
-        names = ["bucket", "print", "kind", "n", "id", "digest", "start", "bytes", "windows"]
-        types = [pa.int64()] * 6 + [pa.int32(), pa.binary(), pa.binary()]
-        for batch in joined(batches):
-            rows, hot = [], {}
-            for i, d, text, wanted in zip(*(batch[c].to_pylist() for c in ("id", "digest", "text", "asks")), strict=True):
-                raw = text.encode()
-                for q in wanted:
-                    if not q["hot"]:
-                        rows.append((q["print"] % buckets, q["print"], q["kind"], q["n"], i, d, q["start"], raw[q["start"] : q["start"] + q["size"] + WINDOW - 1], None))
-                        continue
-                    for at in range(q["start"], q["start"] + q["size"]):
-                        digest = hashlib.blake2b(raw[at : at + WINDOW], digest_size=16).digest()
-                        hot.setdefault(digest[0] + 256 * digest[1] + 65536 * digest[2], []).append(digest + np.array([i, d, at, q["n"]], "<i8").tobytes())
-            packed: dict[int, list] = {}
-            for key, parts in hot.items():
-                packed.setdefault(-1 - key % hot_buckets, []).extend(parts)
-            rows += [(b, None, None, None, None, None, None, None, zstandard.compress(b"".join(p), 1)) for b, p in packed.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], k) for k in types], names)
-
-    def settle(group: pa.Table) -> pa.Table:
-        return _tally(group) if group["bucket"][0].as_py() < 0 else _sort(group)
-
-    fetched = src.join(asks, ["id", "digest"]).select("id", "digest", "text", "asks").mapInArrow(fetch, "bucket long, print long, kind long, n long, id long, digest long, start int, bytes binary, windows binary")
-    return copied.unionByName(fetched.groupBy("bucket").applyInArrow(settle, RUNS))
+    listed = store(src.mapInArrow(_list_segments, LISTED + ", behind long, before long"), "segments")
+    forms = _forms(listed, "behind", "before")
+    forms = store(forms.join(forms.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")), "print").filter("n > 1 OR kinds > 1"), "forms")
+    turn = F.greatest(F.col("of.start"), F.col("of.mark") - HALF)  # the first window of the first half
+    end = F.col("of.start") + F.col("of.size")
+    half = lambda context, start, stop: F.struct(F.col(context).alias("print"), start.alias("start"), (stop - start).cast("int").alias("size"))
+    halves = F.explode(F.array(half("behind", turn, end), half("before", F.col("of.start"), F.least(end, F.col("of.mark") - HALF)))).alias("half")
+    parts = forms.filter("kinds > 1").select("kind", "n", "of.id", "of.digest", "of.mark", halves).filter("half.print IS NOT NULL")
+    parts = parts.select("half.print", "kind", "n", "id", "digest", "half.start", "half.size", "mark")
+    return _copies(listed, forms).unionByName(_settled(parts, src, PARTS))
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``: bytes that a window
     covers which also starts elsewhere (in this text or another) are removed.
 
-    Ids are longs without nulls. Null counts as empty; texts of fewer than ``WINDOW`` bytes lose nothing.
-    Every row is a text of its own, so a repeated row repeats itself. Other columns are not read.
+    Ids are longs; a null one counts as the least long. Null counts as empty; texts of fewer than ``WINDOW`` bytes
+    lose nothing. Very long texts are taken in slices, of any length that a string may have. Every row is a text of
+    its own, so a repeated row repeats itself. Other columns, whatever their names, are not read. An empty table
+    gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     runs = repeated_bytes(src).groupBy("id", "digest").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_bytes else [])]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches):
             out = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                raw = text.encode()
-                steps = np.zeros(len(raw) + 1, np.int64)
-                for r in spans or ():
-                    steps[r["start"]] += 1
-                    steps[r["start"] + r["size"] + WINDOW - 1] -= 1
-                gone = np.cumsum(steps[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
-                starts = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), kept))
+            for text, found in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
+                raw, kept, gone, spans, end = text.encode(), [], 0, 0, 0
+                for a, b in sorted((r["start"], r["start"] + r["size"] + WINDOW - 1) for r in found or ()):
+                    if a > end or not spans:
+                        kept.append(raw[end:a])
+                        spans += 1
+                        end = a
+                    gone += max(0, b - end)
+                    end = max(end, b)
+                kept = b"".join([*kept, raw[end:]])
+                out.append((len(raw), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True))[: 4 + kept_bytes]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
 
     found = src.join(runs, ["id", "digest"], "left").select("id", "text", "runs")
-    return found.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes)
+    out = found.mapInArrow(finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes)
+    return out.withColumn(id_col, F.nullif(id_col, F.lit(LEAST_ID)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("has_repeats", F.col("n_removed") > 0)
