@@ -7,6 +7,7 @@ QUERIES = {
     "op2_mixing": mixing.op2,
     "op3_pii": pii.op3,
     "op4_quality_rules": quality.op4,
+    "quality_ablations": quality.quality_ablations,
     "op5_packing": packing.op5,
     "op6_license_scan": licenses.op6,
     "op7_super_kmers": substrings.op7,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_embedding_near_dups": embeddings.OP1_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
     "op7_super_kmers": substrings.OP7_SQL,
 }

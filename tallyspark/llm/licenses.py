@@ -205,8 +205,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
     words (lower-case words without punctuation count), containment of its shingles.
 
     Overlapping windows that hold the same template make one occurrence; of overlapping occurrences of
-    several templates, the best stays. Null, empty and short texts have
-    none. Repeated rows give repeated results. Other columns are not read.
+    several templates, the best stays. Null, empty and short texts have none; very long ones are scanned whole. Ids may be
+    null; repeated rows give repeated results. Other columns, whatever their names, are not read. An empty table gives
+    an empty table.
     """
     names = [n for n, _ in templates]
     kind = docs.schema[id_col].dataType.simpleString()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, store, table
+from .common import WORD, free_name, ranked, store, table
 
 FAN_OUT = 8
 
@@ -101,12 +101,15 @@ class Mix:
     row for each source with rank, weight, size, cap and target; ``draws``: (source, block, epoch, shard).
 
     A null source is a source of its own, after all others; null and empty texts have size 0 and, like
-    sources of size 0, are never drawn for words but travel with their block. Repeated rows count each.
-    The id, source and text columns are read and nothing else.
+    sources of size 0, are never drawn for words but travel with their block. Repeated rows count each and are
+    drawn together; null ids share a block. A very long text is drawn whole or not, and a target is met as nearly as
+    the blocks allow. The id, source and text columns are read and nothing else; ``names`` has those of shard, epoch
+    and order, with underscores behind them where the documents have such columns. An empty table gives empty ones.
     """
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, shards: int = 64, blocks: int = 1024, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"):
-        self.blocks, self.id_col, self.source_col, self.docs = blocks, id_col, source_col, docs
+        self.id_col, self.source_col, self.docs = id_col, source_col, docs
+        self.names = tuple(free_name(n, docs) for n in ("shard", "epoch", "order"))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         self.block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
         self.sized = store(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), self.block.alias("block")), "sized")
@@ -143,15 +146,18 @@ class Mix:
         return docs.select(self.id_col, "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
     def rows(self) -> DataFrame:
-        """The mixed documents, one row for each draw, with ``shard``, ``epoch`` and ``order`` in the shard."""
-        draws = self.draws.select(F.col("source").alias("w_source"), F.col("block").alias("w_block"), "epoch", "shard")
-        hit = F.col(self.source_col).eqNullSafe(F.col("w_source")) & (self.block == F.col("w_block"))
-        order = F.xxhash64(F.lit(self.seed), F.col("shard"), F.col("epoch"), F.col(self.id_col))
-        return self.docs.join(draws, hit).withColumn("order", order).drop("w_source", "w_block")
+        """The mixed documents, one row for each draw, with ``shard``, ``epoch`` and ``order`` in the shard (see ``names``)."""
+        shard, epoch, order = self.names
+        source, block = free_name("w_source", self.docs), free_name("w_block", self.docs)
+        draws = self.draws.select(F.col("source").alias(source), F.col("block").alias(block), F.col("epoch").alias(epoch), F.col("shard").alias(shard))
+        hit = F.col(self.source_col).eqNullSafe(F.col(source)) & (self.block == F.col(block))
+        place = F.xxhash64(F.lit(self.seed), F.col(shard), F.col(epoch), F.col(self.id_col))
+        return self.docs.join(draws, hit).drop(source, block).withColumn(order, place)
 
     def shards(self) -> DataFrame:
-        """``rows``, partitioned by shard and shuffled inside it."""
-        return self.rows().repartition("shard").sortWithinPartitions("shard", "order")
+        """``rows``, partitioned by shard and shuffled inside it: in the order of a keyed hash."""
+        shard, _, order = self.names
+        return self.rows().repartition(shard).sortWithinPartitions(shard, order, self.id_col)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,8 @@ def packed(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, id_col:
     the block's segments in order of row and offset), ``positions`` (n_rows x width, 2 or 4 bytes) and ``segments``.
 
     Null and empty texts have no ids and so no segment. Repeated rows are packed each by itself. Ids are
-    longs; ties in length go by id and part. Other columns are not read.
+    longs and may be null; ties in length go by id and part. A very long text is cut in parts of ``width`` ids, which go to
+    shards of their own. Other columns, whatever their names, are not read. An empty table gives an empty table.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, free_name, table
 
 ROUNDS = 10
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -228,10 +228,12 @@ def mask(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | No
     """``docs`` with personal data in ``text_col`` replaced; with ``counts_col``, also an array of the
     counts by kind, in the order of ``KINDS``.
 
-    Null stays null, an empty text empty. Whole texts are read. Ids, ties and other columns don't
-    matter; repeated rows give repeated results.
+    Null stays null, an empty text empty. Whole texts are read, however long. Ids (null ones, too), ties and other
+    columns don't matter; repeated rows give repeated results, an empty table an empty one. If the name of the counts is
+    taken, it gets underscores until it is free.
     """
     names = docs.columns
+    counts_col = counts_col and free_name(counts_col, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel, seen = Feistel(key.encode()), {}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, free_name, table
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -46,7 +46,8 @@ class Policy:
     mask: int
 
 
-POLICIES = (Policy("base", 1, BASE), Policy("strict", 1, 0b00111111), Policy("strict", 2, 0b11111111))
+#: The third version of the strict policy no longer rejects for length alone.
+POLICIES = (Policy("base", 1, BASE), Policy("strict", 1, 0b00111111), Policy("strict", 2, 0b11111111), Policy("strict", 3, 0b11111011))
 CURRENT = POLICIES[-1]
 
 
@@ -74,28 +75,32 @@ def _measure(text: str | None) -> tuple[int, ...]:
     return (n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), upper, letters)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        rows = np.array([_measure(x) for x in batch["text"].to_pylist()], np.int64).reshape(-1, len(MEASURES))
-        keys = [batch[k] for k in batch.schema.names if k != "text"]
-        names = [k for k in batch.schema.names if k != "text"]
-        yield pa.RecordBatch.from_arrays([*keys, *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], [*names, *MEASURES])
+def with_ledger(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the ledger's columns, and their names by measurement and for ``failed``."""
+    names = {m: free_name(m, docs) for m in (*MEASURES, "failed")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            rows = np.array([_measure(x) for x in batch[text_col].to_pylist()], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], [*batch.schema.names, *(names[m] for m in MEASURES)])
+
+    measured = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(names[m], T.LongType()) for m in MEASURES)]))
+    bits = [F.when(fails(lambda m: F.col(names[m])), F.lit(1 << r)).otherwise(F.lit(0)) for r, (_, fails) in enumerate(RULES)]
+    failed = bits[0]
+    for bit in bits[1:]:
+        failed = failed.bitwiseOR(bit)
+    return measured.withColumn(names["failed"], failed.cast("long")), names
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, measurements, ``failed`` (bit r: rule r failed).
 
     A null or empty text has no words and so fails the first rule. Rows that are repeated, or share
-    an id, are judged each by itself. Whole texts count. Other columns are not read. Map-only.
+    an id (null ids, too), are judged each by itself. Whole texts count, however long. Other columns, whatever their
+    names, are not read. An empty table gives an empty ledger. Map-only.
     """
-    src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = src.schema[id_col].dataType.simpleString()
-    measured = src.mapInArrow(_measured, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(cond(F.col), F.lit(1 << r)).otherwise(F.lit(0)) for r, (_, cond) in enumerate(RULES)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measured.withColumn("failed", failed.cast("long"))
+    rows, names = with_ledger(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
+    return rows.select(F.col("__id").alias(id_col), *(names[m] for m in MEASURES), names["failed"])
 
 
 def passes(policy: Policy, failed: str = "failed") -> Column:
@@ -115,20 +120,14 @@ def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns. Rules run once in one pass over the rows."""
-    names = docs.columns
-    measured = [f"__{m}" for m in MEASURES]
+    """The documents that pass by their ledger, with all their columns, whatever those are called; nulls, repeated rows
+    and empty tables as in ``ledger``. Map-only."""
+    rows, names = with_ledger(docs, text_col)
+    return rows.filter(passes(policy, names["failed"])).select(*(f"`{c}`" for c in docs.columns))
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            rows = np.array([_measure(x) for x in batch[text_col].to_pylist()], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], [*names, *measured])
 
-    out = docs.mapInArrow(judged, T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in measured)]))
-    for r, (_, fails) in enumerate(RULES):
-        if policy.mask >> r & 1:
-            out = out.filter(~fails(lambda m: F.col(f"__{m}")))
-    return out.select(*names)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(ledger(table(spark, sf_dir, "documents")))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,5 +164,13 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 64 ELSE 0 END
         + CASE WHEN 100 * n_upper > 60 * n_letters THEN 128 ELSE 0 END)::BIGINT AS failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
+       failed & 3 <> 0 AS base_failed, failed & 251 = 0 AS kept, failed FROM b
+"""
+
+ABLATIONS_SQL = f"""
+WITH f AS (SELECT failed & {CURRENT.mask} AS bits FROM ({OP4_SQL})),
+r AS (SELECT unnest({[r for r in range(len(RULES)) if CURRENT.mask >> r & 1]}) AS rule, unnest({[n for r, (n, _) in enumerate(RULES) if CURRENT.mask >> r & 1]}) AS name)
+SELECT rule::INTEGER AS rule, name, count(*) FILTER (bits >> rule & 1 = 1) AS n_failed, count(*) FILTER (bits = 1 << rule) AS n_failed_alone,
+       count(*) FILTER (bits & ~(1 << rule) = 0) AS n_kept_without
+FROM f, r GROUP BY rule, name
 """

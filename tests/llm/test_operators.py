@@ -7,6 +7,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import bpe, embeddings, licenses, mixing, near_dups, packing, pii, quality, substrings, suffixes
@@ -273,12 +274,37 @@ def test_super_kmers(spark, texts, monkeypatch):
         want[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
     for hot in (False, True):
         if hot:  # every minimiser counts as hot: windows travel one by one
-            monkeypatch.setattr(substrings.np, "isin", lambda a, b: substrings.np.ones(len(a), bool))
+            monkeypatch.setattr(substrings, "LEAST_HOT", 0)
+            monkeypatch.setattr(substrings, "hot_share", lambda windows, buckets: 0)
         got = substrings.dedup_windows(df).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want and len(got) == len(want)
     twice = substrings.dedup_windows(df.unionByName(df)).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in twice) == {(i, *w): 2 for i, w in want.items()}
     assert substrings.dedup_windows(df.limit(0)).count() == 0
+    null = substrings.dedup_windows(spark.createDataFrame([(None, " ".join(words(random.Random(2), 30))), (3, " ".join(words(random.Random(2), 30)))], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in null} == {None: (30, 0), 3: (30, 30)}
+
+
+def test_thinly_spread_minimisers_are_counted(monkeypatch):
+    """A minimiser with a window or two in each step counts over all steps, whatever a task holds at once."""
+    monkeypatch.setattr(substrings, "STEP_BYTES", 300)
+    rng = random.Random(12)
+    phrase = words(rng, 20)
+    texts = [" ".join(words(rng, 9, 10**6) + phrase + words(rng, 9, 10**6)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]
+
+    def counts():
+        out = collections.Counter()
+        for batch in substrings._count(iter(batches)):
+            for k, n in zip(batch["kind"].to_pylist(), batch["n"].to_pylist()):
+                out[k] += n
+        return out
+
+    whole = counts()
+    monkeypatch.setattr(substrings, "COUNTS_HELD", 40)
+    assert counts() == whole and sum(whole.values()) == 200 * (38 - 19)
+    ((_, most),) = whole.most_common(1)
+    assert most >= 200
 
 
 # 8
@@ -297,8 +323,9 @@ def test_suffix_sorting():
         suffixes.WINDOW = old
 
 
-@pytest.mark.parametrize("hot", [10**6, 1])
+@pytest.mark.parametrize("hot", [10**6, 3, 1])
 def test_repeated_bytes(spark, texts, monkeypatch, hot):
+    """With a low bound for hot fingerprints, all are cut in parts, and again in single windows."""
     monkeypatch.setattr(suffixes, "HOT_KINDS", hot)
     many = texts + ["abc" * 400, "q" * 399, "q" * 400, "q" * 401, "r" * 400]
     df = table(spark, many).repartition(4)
@@ -405,3 +432,18 @@ def test_bpe(spark, texts, encoding):
     coded = bpe.decode(bpe.encode(df, path, pattern), path, pattern)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in coded.collect())
     assert bpe.digest(df.limit(0), path, pattern).count() == 0
+    clash = bpe.decode(bpe.encode(df.withColumnRenamed("keys", "IDS").withColumnRenamed("digest", "decoded"), path, pattern), path, pattern, ids_col="ids_")
+    assert clash.columns[-2:] == ["ids_", "decoded_"] and all(bytes(r.decoded_) == (r.text or "").encode() and (r.IDS, r.decoded) == ("y", "x") for r in clash.collect())
+
+
+def test_bpe_of_long_texts(encoding):
+    """Text without blanks between its signs, and very long texts, in one step each."""
+    rng = random.Random(7)
+    signs = "".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(10, 61))) + rng.choice("，。 ") for _ in range(9_000))
+    own = [f"{w}{rng.randrange(10**4)} " for w in words(rng, 3_000)]
+    long = "".join(rng.choices(own, k=9_500_000)) + "=" * 300_000 + "\n" * 9_000
+    codec = bpe.Codec.of(*bpe.default_vocabulary())
+    for text in (signs, long):
+        (ids,) = codec.encode([text])
+        assert np.array_equal(np.frombuffer(ids, "<u4"), np.array(encoding.encode_ordinary(text), np.uint32))
+        assert codec.decode([b"", ids, b""]) == [b"", text.encode(), b""]
