@@ -6,8 +6,11 @@ at most e1 * (1 + e2) + e2 * (1 + e1) + e1 * e2 (Cauchy-Schwarz), so pairs below
 more than that are settled by the tile product, and only the rest is computed in double precision.
 
 Equal vectors are one node. Nodes are sorted by the signs of fixed projections and cut into blocks of
-``BLOCK``; two blocks meet in a tile only if their centres' angle allows a link between any of their
-vectors. A tile hands on link counts and local components, never its pairs.
+``BLOCK``, and ``SPAN`` blocks in a row are a region. Two regions are looked into only if their centres' angle allows a link
+between any of their vectors, and so with blocks. Blocks meet in a tile by their codes, scales and errors alone; only
+where pairs may reach the threshold do the tile's vectors follow. A tile hands on link counts and local components,
+never its pairs. The products of int8 codes run as single-precision matrix products over slices of ``SLICE``
+components, in which their sums are exact.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, store, table
 from .components import components
 
 BLOCK = 4096
+SPAN = 64
 STRIP = 1024
-SIGNS = 16
+SLICE = 1024
+SIGNS = 24
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,44 +65,62 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return unit, code, scale, error
 
 
+def _centre(unit: np.ndarray) -> np.ndarray:
+    """The direction of the mean of unit rows."""
+    centre = unit.mean(0)
+    length = np.sqrt(centre @ centre)
+    return centre / length if length > 1e-9 else np.eye(1, unit.shape[1])[0]
+
+
 def _pack(group: pa.Table) -> pa.Table:
     """One row for a block: ids, copies, raw and quantised vectors as binaries, centre and reach."""
     dim = group["dim"][0].as_py()
     raw = group["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
     unit, code, scale, error = quantise(raw)
-    centre = unit.mean(0)
-    length = np.sqrt(centre @ centre)
-    centre = centre / length if length > 1e-9 else np.eye(1, dim)[0]
+    centre = _centre(unit)
     reach = float(np.arccos(np.clip((unit @ centre).min(), -1, 1))) + 1e-6
     data = [group["node"].to_numpy().astype("<i8"), group["copies"].to_numpy().astype("<i8"), raw, code, scale, error]
     return pa.table({"dim": pa.array([dim], pa.int32()), "block": group["block"][:1], "centre": pa.array([centre], pa.list_(pa.float64())), "reach": [reach], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "times", "raw", "code", "scale", "error"), data, strict=True)}})
 
 
+def _region(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One row for a region: its centre, and an angle within which all its vectors lie."""
+    units = np.array(blocks["centre"].tolist())
+    centre = _centre(units)
+    reach = float((np.arccos(np.clip(units @ centre, -1, 1)) + blocks["reach"].to_numpy()).max()) + 1e-6
+    return pd.DataFrame({"dim": blocks["dim"][:1], "region": blocks["region"][:1], "centre": [centre], "reach": [reach]})
+
+
 class _Block:
     def __init__(self, row: dict, side: str, dim: int):
         of = lambda name, kind: np.frombuffer(row[side + name], kind)
         self.ids, self.times = of("ids", "<i8"), of("times", "<i8")
-        self.raw, self.code = of("raw", np.float64).reshape(-1, dim), of("code", np.int8).reshape(-1, dim).astype(np.float32)
+        self.code = of("code", np.int8).reshape(-1, dim).astype(np.float32)
+        self.raw = of("raw", np.float64).reshape(-1, dim) if side + "raw" in row else None
         self.scale, self.error = of("scale", np.float64), of("error", np.float64)
 
 
-def _tile(left: _Block, right: _Block, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, in right) of all pairs with a cosine of ``threshold`` or more; in one block, i < j."""
-    found_i, found_j = [], []
+def _near(left: _Block, right: _Block, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in left, in right) of all pairs that may reach the threshold; in one block, i < j."""
     dim = left.code.shape[1]
     for at in range(0, len(left.ids), STRIP):
         rows = slice(at, at + STRIP)
-        dots = np.zeros((len(left.ids[rows]), len(right.ids)), np.float32 if dim <= 1024 else np.float64)
-        for d in range(0, dim, 1024):  # sums of up to 1024 products of int8 are exact in single precision
-            dots += left.code[rows, d : d + 1024] @ right.code[:, d : d + 1024].T
-        # s1 * s2 * dot >= t - (e1 + e2 + 3 e1 e2), divided by the scales; 1e-5 covers single precision
+        dots = np.zeros((len(left.ids[rows]), len(right.ids)), np.float32 if dim <= SLICE else np.float64)
+        for d in range(0, dim, SLICE):
+            dots += left.code[rows, d : d + SLICE] @ right.code[:, d : d + SLICE].T
+        # s1 * s2 * dot >= t - (e1 + e2 + 3 e1 e2); 1e-5 covers single precision
         low = np.float32(threshold - 1e-5) - (left.error[rows, None] * (1 + 3 * right.error[None, :]) + right.error[None, :]).astype(np.float32)
         dots *= left.scale[rows, None].astype(np.float32)
         dots *= right.scale[None, :].astype(np.float32)
         i, j = np.nonzero(dots >= low)
         i += at
-        if same:
-            i, j = i[i < j], j[i < j]
+        yield (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _tile(left: _Block, right: _Block, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs with a cosine of ``threshold`` or more, in double precision."""
+    found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in _near(left, right, same, threshold):
         for part in range(0, len(i), 1 << 16):
             a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
             x, y = left.raw[a], right.raw[b]
@@ -104,8 +128,7 @@ def _tile(left: _Block, right: _Block, same: bool, threshold: float) -> tuple[np
             cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
             found_i.append(a[cos >= threshold])
             found_j.append(b[cos >= threshold])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _linked(ids: np.ndarray, times: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +145,30 @@ def _linked(ids: np.ndarray, times: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return ids[some], links[some].astype(np.int64), root[some]
 
 
+def _apart(threshold: float) -> Column:
+    """Whether vectors within ``reach`` of ``centre`` and within ``r`` of ``c`` are too far apart for a link."""
+    dot = F.aggregate(F.zip_with("centre", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("reach") - F.col("r") > math.acos(threshold) + 1e-6
+
+
+def _within_reach(some: DataFrame, others: DataFrame, name: str, threshold: float) -> DataFrame:
+    """Pairs (name <= other) of the same dimension that a link can join; both tables have a row for thousands of vectors."""
+    last = some.agg(F.max(name)).first()[0]
+    every = some.select("dim", name, "centre", "reach", F.explode(F.sequence(F.col(name), F.lit(-1 if last is None else last))).alias("other"))
+    theirs = others.select("dim", F.col(name).alias("other"), F.col("centre").alias("c"), F.col("reach").alias("r"))
+    return every.join(theirs, ["dim", "other"]).filter((F.col(name) == F.col("other")) | ~_apart(threshold))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
     n_links counts the other vectors with a cosine of ``threshold`` or more, component_id is the least id
     that links reach. Null, empty and zero vectors and those with null or non-finite components link with
-    nothing; so do vectors of different lengths. Rows that share an id are one vector (the least). Other
-    columns are not read. An empty table gives an empty table.
+    nothing; so do vectors of different lengths. Rows that share an id are one vector (the least); those
+    with null ids are one that links with nothing. Other columns, whatever their names, are not read. An empty table gives an empty table.
     """
     rows = vectors.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vec_col).alias("vec"))
-    usable = store(rows.mapInArrow(_usable, "id long, digest binary, vec array<double>, signs int"), "vectors")
+    usable = store(rows.filter("id IS NOT NULL").mapInArrow(_usable, "id long, digest binary, vec array<double>, signs int"), "vectors")
     copies = usable.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     copies = store(copies, "copies")
     members = usable.select("id", "digest").join(copies, "digest").select("id", "node", "copies")
@@ -140,16 +177,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     kinds = "dim int, block long, centre array<double>, reach double, ids binary, times binary, raw binary, code binary, scale binary, error binary"
     blocks = store(nodes.groupBy("dim", "block").applyInArrow(_pack, kinds), "blocks")
 
-    last = blocks.agg(F.max("block")).first()[0]
-    marks = blocks.select("dim", "block", "centre", "reach")
-    meets = marks.select("dim", "block", "centre", "reach", F.explode(F.sequence(F.col("block"), F.lit(-1 if last is None else last))).alias("other"))
-    theirs = marks.select("dim", F.col("block").alias("other"), F.col("centre").alias("c"), F.col("reach").alias("r"))
-    dot = F.aggregate(F.zip_with("centre", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("reach") - F.col("r") > math.acos(threshold) + 1e-6
-    tiles = meets.join(theirs, ["dim", "other"]).filter((F.col("block") == F.col("other")) | ~apart).select("dim", "block", "other")
-    names = ("ids", "times", "raw", "code", "scale", "error")
-    left = blocks.select("dim", "block", *(F.col(n).alias("l" + n) for n in names))
-    right = blocks.select("dim", F.col("block").alias("other"), *(F.col(n).alias("r" + n) for n in names))
+    marks = blocks.select("dim", "block", F.expr(f"block DIV {SPAN}").alias("region"), "centre", "reach")
+    regions = store(marks.groupBy("dim", "region").applyInPandas(_region, "dim int, region long, centre array<double>, reach double"), "regions")
+    met = _within_reach(regions, regions, "region", threshold).select("dim", "region", "other")
+    mine = met.join(marks, ["dim", "region"])
+    theirs = marks.select("dim", F.col("region").alias("other"), F.col("block").alias("with"), F.col("centre").alias("c"), F.col("reach").alias("r"))
+    tiles = mine.join(theirs, ["dim", "other"]).filter((F.col("block") <= F.col("with")) & ((F.col("block") == F.col("with")) | ~_apart(threshold)))
+    tiles = tiles.select("dim", "block", F.col("with").alias("other"))
+
+    def joined_tiles(tiles: DataFrame, *names: str) -> DataFrame:
+        left = blocks.select("dim", "block", *(F.col(n).alias("l" + n) for n in names))
+        right = blocks.select("dim", F.col("block").alias("other"), *(F.col(n).alias("r" + n) for n in names))
+        return tiles.join(left, ["dim", "block"]).join(right, ["dim", "other"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tiles in which a pair may reach the threshold."""
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                row = {n: batch[n][k].as_py() for n in batch.schema.names}
+                pairs = _near(_Block(row, "l", row["dim"]), _Block(row, "r", row["dim"]), row["block"] == row["other"], threshold)
+                keep.append(any(len(i) for i, _ in pairs))
+            yield pa.RecordBatch.from_arrays([batch[n] for n in ("dim", "block", "other")], ["dim", "block", "other"]).filter(pa.array(keep, pa.bool_()))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +210,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 out = _linked(ids, times, i, j if same else j + len(a.ids))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["node", "n", "root"])
 
-    pairs = tiles.join(left, ["dim", "block"]).join(right, ["dim", "other"])
-    found = store(pairs.mapInArrow(multiply, "node long, n long, root long"), "found")
+    quantised = ("ids", "times", "code", "scale", "error")
+    # of a block with itself something is near more often than not
+    some = joined_tiles(tiles.filter("block <> other"), *quantised).mapInArrow(look, "dim int, block long, other long")
+    some = store(some.unionByName(tiles.filter("block = other")), "tiles")
+    found = store(joined_tiles(some, *quantised, "raw").mapInArrow(multiply, "node long, n long, root long"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     out = members.join(counts, "node", "left").join(comps, "node", "left")
     out = out.select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     every = rows.select("id").join(out, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return every.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return every.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
