@@ -23,6 +23,8 @@ from .common import chunks, table
 WIDTH, BLOCK_ROWS = 2048, 256
 #: Bytes of text that a shard is meant to hold.
 SHARD_BYTES = 8 << 20
+#: Tasks that shards are dealt to at most; beyond, a task packs several, one after the other.
+PARTITIONS = 1 << 16
 
 
 class Room:
@@ -149,7 +151,7 @@ def packed(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, id_col:
 
     cut = src.mapInArrow(parts, "id long, part int, n int, ids binary")
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, BLOCKS)
+    return dealt.repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInArrow(pack, BLOCKS)
 
 
 def write(blocks: DataFrame, path: str) -> None:
