@@ -44,6 +44,14 @@ _RUN = re.compile("[0-9A-Za-z]+|.", re.DOTALL)
 DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
 
 
+#: How long the IBANs of countries are.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in countries.split()}
+
+
 class Feistel:
     """A keyed permutation of the strings of one shape: alternating modular additions to two halves."""
 
@@ -134,8 +142,11 @@ def _iban(f: Feistel, text: str) -> str | None:
 
 
 def _ends(text: str) -> list[str]:
-    """``text`` and its beginnings that end before a blank, the longest first: the words behind an IBAN match, too."""
-    return [text, *(text[:k] for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
+    """``text`` and its beginnings that end before a blank, the longest first: the words behind an IBAN match, too.
+    Where all of it is as long as its country's IBANs, digits at its end are no such words."""
+    ends = [text, *(text[:k] for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
+    whole = len(text.replace(" ", "")) == IBAN_LENGTHS.get(text[:2])
+    return [e for e in ends if e == text or not whole or not text[len(e) :].replace(" ", "").isdigit()]
 
 
 def _date(f: Feistel, text: str) -> str | None:
