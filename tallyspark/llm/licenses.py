@@ -200,6 +200,16 @@ class Templates:
         return [(t, self.origin[k], *rest) for t, k, *rest in _best(out, [len(x) for x in self.sets])]
 
 
+def from_table(rows: DataFrame, name_col: str = "license", text_col: str = "text", most: int = 20_000) -> tuple[tuple[str, str], ...]:
+    """Templates from a table, in the order of name and text; nulls and texts too short for a shingle are left out.
+
+    Every task holds all templates, so a table of more than ``most`` rows is refused."""
+    found = rows.select(F.col(name_col).alias("n"), F.col(text_col).alias("t")).filter("n IS NOT NULL AND t IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} templates")
+    return tuple(sorted((r["n"], r["t"]) for r in found if len(WORD.findall(r["t"])) >= SHINGLE))
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each occurrence of a template: id, license, template number, first word and number of
     words (lower-case words without punctuation count), containment of its shingles.

@@ -7,6 +7,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -78,6 +79,19 @@ def test_embeddings(spark):
         embeddings.BLOCK = old
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], comp[i], comp[i] == i) for i in ids} and len(got) == len(ids)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    null = embeddings.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in null} == {(None, 0, None, True), (4, 0, 4, True)} and len(null) == 2
+
+
+def test_regions_bound_their_vectors():
+    rng = np.random.default_rng(5)
+    units = rng.standard_normal((40, 6)) + np.array([4.0, 0, 0, 0, 0, 0])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    blocks = [units[k : k + 10] for k in range(0, 40, 10)]
+    centres = [embeddings._centre(b) for b in blocks]
+    reach = [float(np.arccos(np.clip(b @ c, -1, 1)).max()) for b, c in zip(blocks, centres)]
+    (region,) = embeddings._region(pd.DataFrame({"dim": 6, "region": 0, "centre": [c.tolist() for c in centres], "reach": reach})).to_dict("records")
+    assert (np.arccos(np.clip(units @ np.array(region["centre"]), -1, 1)) <= region["reach"]).all()
 
 
 def test_quantisation_bound():
