@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyspark import config
 
+# The markers, separators and date shapes below are those of the mails and task pages.
 #: Unicode white space and the four ASCII separators, as a Java class under the U flag.
 _BLANK = r"[\s\x1c-\x1f]"
 #: Flags i, d, U: ignore case, only \n ends a line, Unicode classes.

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 
 
+# The property names and kinds in the payloads below are those of the task tracker's pages.
+
+
 def _title(c: Column) -> Column:
     return F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("text"))).alias("title"))
 
@@ -51,18 +54,35 @@ def escalation_payload(nudges: Column) -> Column:
 
 
 def document_payload(title: Column, content: Column, writer: Column | None = None) -> Column:
-    """JSON to create a document with text at its start, shared with a writer if given."""
+    """JSON to create a document with text at its start, shared with a writer if given."""
     cols = [title.alias("title"), F.struct(F.lit(1).alias("index"), content.alias("text")).alias("insert")]
     if writer is not None:
         cols.append(F.struct(F.lit("user").alias("type"), F.lit("writer").alias("role"), writer.alias("emailAddress")).alias("permission"))
     return F.to_json(F.struct(*cols))
 
 
-def mail_payload(to: Column, subject: Column, body: Column, attachment: Column | None = None) -> Column:
-    """JSON of a mail with its base64url body, and an attachment's name and path (K8, K9)."""
+def stamped_document_payload(prefix: str, as_of: Column, writer: Column) -> Column:
+    """JSON to create an empty document named by the as-of time and share it with a writer, who is told."""
+    permission = F.struct(F.lit("user").alias("type"), F.lit("writer").alias("role"), writer.alias("emailAddress"))
+    return F.to_json(F.struct(F.concat(F.lit(prefix), text.stamp_text(as_of)).alias("title"), permission.alias("permission"), F.lit(True).alias("sendNotificationEmail")))
+
+
+def with_attachments(mails: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """``mails`` with ``filename`` and ``data`` (base64) of the file whose path ends each ``path``; null where there is no such
+    file, so the mail goes without (K9a, K9c, S9). ``files`` has path, length and content of whole files."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    found = files.select(plain(F.col("path")).alias("_path"), F.base64("content").alias("data")).dropDuplicates(["_path"])
+    rows = mails.join(found, plain(F.col(path)) == F.col("_path"), "left")
+    return rows.withColumn("filename", F.when(F.col("data").isNotNull(), text.basename(F.col(path)))).drop("_path")
+
+
+def mail_payload(to: Column, subject: Column, body: Column, attachment: Column | None = None, filename: Column | None = None, data: Column | None = None) -> Column:
+    """JSON of a mail with its base64url body, and an attachment's path and name, or its name and data (K8, K9)."""
     cols = [to.alias("to"), subject.alias("subject"), text.to_base64url(body).alias("raw")]
     if attachment is not None:
         cols += [attachment.alias("path"), text.basename(attachment).alias("filename")]
+    elif data is not None:
+        cols += [filename.alias("filename"), data.alias("data")]
     return F.to_json(F.struct(*cols))
 
 
@@ -72,11 +92,11 @@ def chat_update(name: Column, status: Column, due: Column) -> Column:
     return F.format_string("Task update\n* task: %s\n* status: %s\n* due: %s", show(name), show(status), show(due))
 
 
-def outbox(rows: DataFrame, channel: str, target: Column, payload: Column, *key: Column) -> DataFrame:
-    """(key, channel, target, payload) of intended effects; the key is a digest of what makes an effect the
-    same, so a replayed batch gives the same keys."""
+def outbox(rows: DataFrame, channel: str, target: Column, payload: Column, *key: Column, day: Column | None = None) -> DataFrame:
+    """(key, channel, target, payload[, day]) of intended effects; the key is a digest of what makes an effect the
+    same, so a replayed batch gives the same keys. The day of what caused them divides a large outbox."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(channel), *(k.cast("string") for k in key)), 256)
-    return rows.select(digest.alias("key"), F.lit(channel).alias("channel"), target.alias("target"), payload.alias("payload"))
+    return rows.select(digest.alias("key"), F.lit(channel).alias("channel"), target.alias("target"), payload.alias("payload"), *([] if day is None else [day.cast("date").alias("day")]))
 
 
 def keyed_update(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:

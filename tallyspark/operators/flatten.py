@@ -48,10 +48,10 @@ def mail_tasks(mails: DataFrame) -> DataFrame:
     return rows.select(text.strip(F.col("subject")).alias("Task name"), text.due_in_text(content).alias("Due"), text.keyword_tags(content).alias("Tags"), text.priority_in_text(content).alias("Priority"), "Content")
 
 
-def commands(messages: DataFrame) -> DataFrame:
-    """(id, title, content) of command mails."""
-    rows = messages.select("id", p.header("Subject").alias("subject"), p.plain_body().alias("body"))
-    return rows.select("id", text.command_title(F.col("subject"), F.col("body")).alias("title"), text.command_content(F.col("body")).alias("content"))
+def commands(messages: DataFrame, *more: str) -> DataFrame:
+    """(id, title, content) of command mails (P11 to P13, X8, X9), and more of their columns."""
+    rows = messages.select("id", *more, p.header("Subject").alias("subject"), p.plain_body().alias("body"))
+    return rows.select("id", *more, text.command_title(F.col("subject"), F.col("body")).alias("title"), text.command_content(F.col("body")).alias("content"))
 
 
 def lines(rows: DataFrame, *columns: str, separator: str = " | ") -> DataFrame:

@@ -36,24 +36,25 @@ def metrics_vector(rows: DataFrame, as_of: Column, status: str = "status", due:
     return rows.agg(*counts).select(as_of.cast("date").alias("Date"), *(F.col(f"`{n}`") for n in sorted(statuses)))
 
 
-def digest(rows: DataFrame, as_of: Column, waiting_label: str, order: str = "id", policy: OverduePolicy = OVERDUE["digest"]) -> DataFrame:
-    """One row of one text: the overdue, the due and the waiting tasks (id, title, status, due), in order.
-
-    A digest is one message by nature; filters run before the lists are gathered."""
+def digest_lines(rows: DataFrame, as_of: Column, waiting_label: str, order: str = "id", policy: OverduePolicy = OVERDUE["digest"]) -> DataFrame:
+    """The digest as lines (section, ``order``, line): the overdue, the due and the waiting tasks (title, status, due), each with
+    its section (1 to 3) and its order (A6). Section 0 is the head; a section's own heading, with null order, comes before its
+    lines, and None behind it where it has no task. No section is gathered anywhere: sort by section and order to read it."""
     name = F.coalesce("title", F.lit("Untitled"))
     day = F.substring_index(F.col("due").cast("string"), "T", 1)
     late = predicates.overdue(F.col("status"), F.col("due"), as_of, policy)
     today = ~late & predicates.due_today(F.col("due"), as_of)
     held = predicates.waiting(F.col("status"), waiting_label)
-    entry = lambda cond, line: F.when(cond, F.struct(F.col(order), line.alias("line")))
-    kept = rows.filter(late | today | held)
-    lists = kept.agg(
-        F.collect_list(entry(late, F.concat(F.lit("- "), name, F.lit(" (was due "), day, F.lit(")")))).alias("late"),
-        F.collect_list(entry(today, F.concat(F.lit("- "), name))).alias("today"),
-        F.collect_list(entry(held, F.concat(F.lit("- "), name))).alias("held"),
-    )
-    joined = lambda c: F.coalesce(F.nullif(F.array_join(F.transform(F.array_sort(c), lambda x: x["line"]), "\n"), F.lit("")), F.lit("None"))
-    return lists.select(F.concat(F.lit("Daily Task Summary for "), F.date_format(as_of.cast("date"), "yyyy-MM-dd"), F.lit("\n\nOverdue:\n"), joined("late"), F.lit("\n\nDue Today:\n"), joined("today"), F.lit(f"\n\nWaiting on {waiting_label}:\n"), joined("held")).alias("digest"))
+    entry = lambda cond, section, line: F.when(cond, F.struct(F.lit(section).alias("section"), line.alias("line")))
+    entries = F.array_compact(F.array(entry(late, 1, F.concat(F.lit("- "), name, F.lit(" (was due "), day, F.lit(")"))), entry(today, 2, F.concat(F.lit("- "), name)), entry(held, 3, F.concat(F.lit("- "), name))))
+    lines = rows.filter(late | today | held).select(F.col(order), F.explode(entries).alias("e")).select("e.section", order, "e.line")
+    found = rows.agg(*(F.max(c).alias(f"s{k}") for k, c in enumerate((late, today, held), 1)))
+    headings = F.array(
+        F.struct(F.lit(0).alias("section"), F.concat(F.lit("Daily Task Summary for "), F.date_format(as_of.cast("date"), "yyyy-MM-dd"), F.lit("\n")).alias("line")),
+        *(F.struct(F.lit(k).alias("section"), F.concat(F.lit(("" if k == 1 else "\n") + heading + ":"), F.when(F.col(f"s{k}"), F.lit("")).otherwise(F.lit("\nNone"))).alias("line")) for k, heading in enumerate(("Overdue", "Due Today", f"Waiting on {waiting_label}"), 1)),
+    )
+    heads = found.select(F.explode(headings).alias("e")).select("e.section", F.lit(None).cast(rows.schema[order].dataType).alias(order), "e.line")
+    return heads.unionByName(lines)
 
 
 def trend(rows: DataFrame, day: str, value_columns: Sequence[str]) -> DataFrame:

@@ -32,12 +32,14 @@ def waiting(status: Column, label: str) -> Column:
     return F.coalesce(status == label, F.lit(False))
 
 
-def needs_review(assignee: Column, priority: Column) -> Column:
-    return (F.coalesce(assignee, F.lit("")) == "") | (F.coalesce(priority, F.lit("")) == "")
+def tagged(tags: Column) -> Column:
+    """Whether there is any tag, so that something is to be done (F14); never null."""
+    return F.coalesce(F.size(tags) > 0, F.lit(False))
 
 
-def unsorted(status: Column) -> Column:
-    return F.coalesce(status, F.lit("")) == ""
+def asks_for(snippet: Column, phrase: str) -> Column:
+    """Whether a mail's snippet holds the phrase, in whatever case."""
+    return text.has(snippet, phrase)
 
 
 def mentions_done(title: Column, content: Column, word: str = "Done") -> Column:

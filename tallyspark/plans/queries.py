@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import OVERDUE
 from tallyspark.functions import text
-from tallyspark.operators import actions, flatten, metrics, predicates
+from tallyspark.operators import actions, delivery, flatten, metrics, predicates
+from tallyspark.sources import readers, writers
 
 AS_OF = "1998-06-15 12:00:00"
 WAITING = "In progress"
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+# The statuses, markers and payload fields in the views and the SQL below are those of the task tracker.
 #: Keywords that the test documents hold, so that tags aren't all empty.
 KEYWORDS = ("license", "the", "low", "due")
 TRIGGERS = (("legal", ("license", "licensed")), ("english", (" the ", " and ")), ("french", (" le ", " les ")), ("none", ("zzzz",)))
@@ -103,7 +105,7 @@ def nudge_updates(spark, sf_dir):
 def review_routing(spark, sf_dir):
     rows = tasks(spark, sf_dir)
     tags = text.review_tags(F.nullif("status", F.lit("In progress")), F.col("priority"), F.col("assignee"))
-    return rows.select("id", F.array_join(F.transform(tags, lambda t: t["name"]), ", ").alias("tags")).filter("tags <> ''")
+    return rows.withColumn("tags", tags).filter(predicates.tagged(F.col("tags"))).select("id", F.array_join(F.transform("tags", lambda t: t["name"]), ", ").alias("tags"))
 
 
 def task_log(spark, sf_dir):
@@ -111,7 +113,7 @@ def task_log(spark, sf_dir):
 
 
 def daily_digest(spark, sf_dir):
-    return metrics.digest(tasks(spark, sf_dir), as_of(), WAITING)
+    return metrics.digest_lines(tasks(spark, sf_dir), as_of(), WAITING)
 
 
 def _mails(spark, sf_dir):
@@ -193,8 +195,18 @@ def base64url_roundtrip(spark, sf_dir):
     return docs.select("doc_id", text.from_base64url(text.to_base64url(F.col("text"))).alias("text"))
 
 
+def _messages(spark, sf_dir):
+    """Turns of conversations as messages: those of users are unread."""
+    received = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).cast("timestamp_ntz")
+    return _read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("sender"), F.lit("team").alias("recipient"), (F.col("role") == "user").alias("unread"), received.alias("received"), F.substring("text", 1, 60).alias("snippet"), "conv_id", "turn", "text")
+
+
 def latest_message(spark, sf_dir):
-    return metrics.latest(_read(spark, sf_dir, "conversations").filter("role = 'user'"), "conv_id", "turn").select("conv_id", "turn", "text")
+    return readers.latest_message(_messages(spark, sf_dir), recipient="team").select("conv_id", "turn", "text")
+
+
+def mailbox_unread(spark, sf_dir):
+    return predicates.mailbox(_messages(spark, sf_dir), "user", "team").filter(predicates.asks_for(F.col("snippet"), "the ")).select("id", "snippet")
 
 
 def mail_headers(spark, sf_dir):
@@ -221,9 +233,11 @@ def trend_sorted(spark, sf_dir):
 
 
 def snapshot_append(spark, sf_dir):
-    rows = tasks(spark, sf_dir).withColumn("year", F.substring("due", 1, 4))
-    first, second = rows.filter("year = '1997'"), rows.filter("year = '1998'")
-    return first.unionByName(second).unionByName(second).select("id", "year")
+    """The history of all tasks by year; the snapshot of 1998 is appended twice."""
+    rows, path = tasks(spark, sf_dir).withColumn("year", F.substring("due", 1, 4)).select("id", "year"), writers.scratch(spark, "history")
+    writers.append_history(rows, path, "year")
+    writers.append_history(rows.filter("year = '1998'"), path, "year")
+    return spark.read.schema("id long, year string").parquet(path)
 
 
 def keyed_update(spark, sf_dir):
@@ -238,9 +252,13 @@ def html_text(spark, sf_dir):
 
 
 def schema_inspect(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").select("o_orderpriority").distinct()
-    props = F.create_map(F.lit("Priority"), F.struct(F.lit("select").alias("type"), F.col("o_orderpriority").alias("option")), F.lit("Title"), F.struct(F.lit("title").alias("type"), F.lit(None).cast("string").alias("option")))
-    return rows.select(F.explode(props).alias("property", "of")).select("property", "of.type", "of.option").distinct()
+    """A description of the task database, as its service gives it, with the priorities of orders as options."""
+    names = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
+    options = names.agg(F.collect_list(F.struct("name")).alias("options"))  # the kinds of priority, a handful
+    kinds = F.struct(F.struct(F.lit("select").alias("type"), F.struct("options").alias("select")).alias("Priority"), F.struct(F.lit("title").alias("type")).alias("Title"))
+    path = writers.scratch(spark, "schema")
+    options.select(F.to_json(F.struct(kinds.alias("properties"))).alias("value")).write.text(path)
+    return readers.database_schema(spark, path)
 
 
 def chat_updates(spark, sf_dir):
@@ -252,7 +270,78 @@ def listing(spark, sf_dir):
     return flatten.lines(tasks(spark, sf_dir), "title", "status", "priority", "due")
 
 
+def _pages(spark, sf_dir):
+    """Orders as task pages: names in spans, some blank; assignees as people; tags in a list or, for some, as a select."""
+    o = tasks(spark, sf_dir)
+    span = lambda c: F.array(F.struct(F.struct(c.alias("content")).alias("text")))
+    named = lambda kind, c: F.struct(F.struct(c.alias("name")).alias(kind))
+    titles = F.when(F.col("id") % 11 == 0, F.array().cast("array<struct<text: struct<content: string>>>")).otherwise(F.concat(span(F.col("title")), span(F.lit("second"))))
+    people = F.when(F.col("assignee").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("name")))).otherwise(F.array(F.struct(F.col("assignee").alias("name")), F.struct(F.lit("helper").alias("name"))))
+    tags = F.when(F.col("id") % 3 == 0, F.array(F.struct(F.lit("a").alias("name")), F.struct(F.lit("b").alias("name"))))
+    props = F.struct(
+        F.struct(titles.alias("title")).alias("Task name"), F.struct(span(F.concat(F.lit("about "), F.col("title"))).alias("rich_text")).alias("Summary"),
+        named("status", F.col("status")).alias("Status"), F.struct(people.alias("people")).alias("Assignee"), F.struct(F.struct(F.col("due").alias("start")).alias("date")).alias("Due"),
+        named("select", F.concat(F.lit(" "), F.col("priority"), F.lit(" "))).alias("Priority"), F.struct(tags.alias("multi_select"), F.when(tags.isNull(), F.struct(F.lit("one").alias("name"))).alias("select")).alias("Tags"),
+    )
+    raw = o.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), props.alias("properties"))).alias("value"))
+    return flatten.split_errors(flatten.parse_pages(raw))[0]
+
+
+def task_fields(spark, sf_dir):
+    rows = flatten.tasks(_pages(spark, sf_dir))
+    return rows.select("id", "title", "summary", "status", F.array_join("assignee", ",").alias("assignee"), "due", "priority", F.array_join("tags", ",").alias("tags"), "project")
+
+
+def task_snapshot(spark, sf_dir):
+    return flatten.snapshot(_pages(spark, sf_dir), as_of()).select(F.col("Date").alias("day"), F.col("Task").alias("task"), F.col("Status").alias("status"), F.col("Due").alias("due"), F.col("Priority").alias("priority"))
+
+
+def page_payloads(spark, sf_dir):
+    """Payloads of all kinds but the one in ``payload_json``."""
+    args = (F.col("title"), F.concat(F.lit("python "), F.col("status")), as_of(), F.concat(F.lit("u"), F.col("id")))
+    return tasks(spark, sf_dir).select("id", *(actions.page_payload(*args, kind).alias(kind) for kind in ("short", "full", "log")))
+
+
+def document_and_mail_payloads(spark, sf_dir):
+    shared = actions.document_payload(F.col("title"), F.col("status"), F.lit("w@example.com"))
+    stamped = actions.stamped_document_payload("doc-", as_of(), F.lit("w@example.com"))
+    mail = actions.mail_payload(F.lit("t@example.com"), F.col("title"), F.lit("~~~???"), F.concat(F.lit("/logs/"), F.col("id"), F.lit(".csv")))
+    return tasks(spark, sf_dir).select("id", actions.document_payload(F.col("title"), F.col("status")).alias("document"), shared.alias("shared"), stamped.alias("stamped"), mail.alias("mail"))
+
+
+def mail_tasks(spark, sf_dir):
+    """HTML mails about orders as tasks."""
+    key = F.col("o_orderkey")
+    body = F.concat(F.lit("<style>p {}</style><p>Order "), key, F.lit(" &amp; client</p><script>var due = 1;</script> due: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(key % 2 == 0, " LOW").otherwise(""))
+    mails = _read(spark, sf_dir, "orders").select(F.concat(F.lit(" Mail "), key).alias("subject"), body.alias("body"))
+    return flatten.mail_tasks(mails).select(F.col("Task name").alias("name"), F.col("Due").alias("due"), F.array_join("Tags", ",").alias("tags"), F.col("Priority").alias("priority"), F.col("Content").alias("content"))
+
+
+def _delivery(spark, sf_dir):
+    """The chat outbox of tasks, and reports of attempts: some fail once, some always, some have none."""
+    k = F.col("id") % 5
+    key = F.sha2(F.concat_ws("\x1f", F.lit("chat"), F.col("id").cast("string")), 256)
+    attempt = lambda n, code, error: F.struct(key.alias("key"), F.timestamp_seconds(F.col("id") + n).cast("timestamp_ntz").alias("at"), F.lit(code).cast("int").alias("code"), F.lit(error).cast("string").alias("error"))
+    tried = F.when(k == 1, F.array(attempt(0, 200, None))).when(k == 2, F.array(attempt(0, 500, None), attempt(9, 200, None))).when(k == 3, F.array(attempt(5, 429, "ratelimited"), attempt(1, None, None)))
+    tried = tried.when(k == 4, F.array(attempt(0, 200, "not_in_channel"), attempt(7, 404, None), attempt(3, None, None)))
+    reports = tasks(spark, sf_dir).select(F.explode(tried).alias("r")).select("r.*")
+    return delivery.delivery_status(chat_updates(spark, sf_dir), reports)
+
+
+def delivery_status(spark, sf_dir):
+    return _delivery(spark, sf_dir).select("key", "state", "attempts", "error")
+
+
+def delivery_dead_letters(spark, sf_dir):
+    return delivery.dead_letters(_delivery(spark, sf_dir), "chat", "mail")
+
+
+def delivery_due_again(spark, sf_dir):
+    return delivery.due_again(_delivery(spark, sf_dir)).select("key", "state")
+
+
 QUERIES = {f.__name__: f for f in (
+    task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
     keyword_tags, tag_triggers, text_priority, agent_routing, skip_done, props_extract, props_dead_letter, base64url_roundtrip,
@@ -292,7 +381,15 @@ ORACLE_SQL = {
     "nudge_updates": _tasks_sql(f"SELECT id, TRUE AS escalated, coalesce(nudges, 0) + 1 AS nudges FROM tasks WHERE {_GUARD}"),
     "review_routing": _tasks_sql("SELECT id, concat_ws(', ', CASE WHEN coalesce(priority, '') = '' OR coalesce(assignee, '') = '' THEN 'Needs Review' END, CASE WHEN status = 'In progress' THEN 'Unsorted' END) AS tags FROM tasks WHERE coalesce(priority, '') = '' OR coalesce(assignee, '') = '' OR status = 'In progress'"),
     "task_log": _tasks_sql("SELECT title AS \"Title\", assignee AS \"Assignee\", priority AS \"Priority\", due AS \"Due\", CASE WHEN assignee IS NULL OR priority IS NULL THEN 'Yes' ELSE 'No' END AS needs_review FROM tasks"),
-    "daily_digest": _tasks_sql(f"SELECT 'Daily Task Summary for ' || strftime({_AS_OF}, '%Y-%m-%d') || chr(10) || chr(10) || 'Overdue:' || chr(10) || coalesce(string_agg('- ' || title || ' (was due ' || due || ')', chr(10) ORDER BY id) FILTER ({_LATE}), 'None') || chr(10) || chr(10) || 'Due Today:' || chr(10) || coalesce(string_agg('- ' || title, chr(10) ORDER BY id) FILTER (due::DATE = {_AS_OF}::DATE), 'None') || chr(10) || chr(10) || 'Waiting on {WAITING}:' || chr(10) || coalesce(string_agg('- ' || title, chr(10) ORDER BY id) FILTER (status = '{WAITING}'), 'None') AS digest FROM tasks"),
+    "daily_digest": _tasks_sql(f"""
+        SELECT section, id, line FROM (
+            SELECT 1 AS section, id, '- ' || title || ' (was due ' || due || ')' AS line FROM tasks WHERE {_LATE}
+            UNION ALL SELECT 2, id, '- ' || title FROM tasks WHERE due::DATE = {_AS_OF}::DATE
+            UNION ALL SELECT 3, id, '- ' || title FROM tasks WHERE status = '{WAITING}')
+        UNION ALL SELECT 0, NULL, 'Daily Task Summary for ' || strftime({_AS_OF}, '%Y-%m-%d') || chr(10)
+        UNION ALL SELECT 1, NULL, 'Overdue:' || CASE WHEN NOT EXISTS (FROM tasks WHERE {_LATE}) THEN chr(10) || 'None' ELSE '' END
+        UNION ALL SELECT 2, NULL, chr(10) || 'Due Today:' || CASE WHEN NOT EXISTS (FROM tasks WHERE due::DATE = {_AS_OF}::DATE) THEN chr(10) || 'None' ELSE '' END
+        UNION ALL SELECT 3, NULL, chr(10) || 'Waiting on {WAITING}:' || CASE WHEN NOT EXISTS (FROM tasks WHERE status = '{WAITING}') THEN chr(10) || 'None' ELSE '' END"""),
     "command_title": f"WITH {_MAILS_SQL} SELECT id, {_MARK('(?i)(?:title|subject)[:-]?\\s*(.*)', 'subject')} AS title FROM mails",
     "command_content": f"WITH {_MAILS_SQL} SELECT id, {_MARK('(?i)(?:content|body|note)[:-]?\\s*(.*)', 'body')} AS content FROM mails",
     "due_from_text": f"WITH {_MAILS_SQL} SELECT id, nullif(regexp_extract(body, 'due[: -]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS due FROM mails",
@@ -308,7 +405,29 @@ ORACLE_SQL = {
     "mail_headers": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN '' ELSE role END AS subject, CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'first' END AS body FROM conversations",
     "payload_json": _tasks_sql(f"SELECT id, '{{\"properties\":{{\"Task name\":{{\"title\":[{{\"text\":{{\"content\":\"' || title || '\"}}}}]}},\"Summary\":{{\"rich_text\":[{{\"text\":{{\"content\":\"' || status || '\"}}}}]}},\"Status\":{{\"status\":{{\"name\":\"Not started\"}}}},\"Due\":{{\"date\":{{\"start\":\"' || strftime({_AS_OF} + INTERVAL 3 DAY, '%Y-%m-%d') || '\"}}}},\"Doc Link\":{{' || CASE WHEN id % 2 = 0 THEN '\"url\":\"https://example.com/' || id || '\"' ELSE '' END || '}}}}}}' AS payload FROM tasks"),
     "trend_sorted": "SELECT ts::DATE AS day, t.status AS status, count(*) FILTER (event_type = t.status) AS n FROM events, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS status) t GROUP BY 1, 2",
-    "snapshot_append": _tasks_sql("SELECT id, due[1:4] AS year FROM tasks WHERE due[1:4] = '1997' UNION ALL SELECT id, due[1:4] FROM tasks, range(2) WHERE due[1:4] = '1998'"),
+    "snapshot_append": _tasks_sql("SELECT id, due[1:4] AS year FROM tasks UNION ALL SELECT id, due[1:4] FROM tasks WHERE due[1:4] = '1998'"),
+    "task_fields": _tasks_sql("SELECT id::VARCHAR AS id, CASE WHEN id % 11 = 0 THEN '' ELSE title END AS title, 'about ' || title AS summary, coalesce(status, '') AS status, coalesce(assignee || ',helper', '') AS assignee, due, coalesce(priority, '') AS priority, CASE WHEN id % 3 = 0 THEN 'a,b' ELSE 'one' END AS tags, '' AS project FROM tasks"),
+    "task_snapshot": _tasks_sql(f"SELECT {_AS_OF}::DATE AS day, CASE WHEN id % 11 = 0 THEN 'Untitled' ELSE title END AS task, coalesce(status, 'Unknown') AS status, due, coalesce(' ' || priority || ' ', 'None') AS priority FROM tasks"),
+    "page_payloads": _tasks_sql(f"""
+        SELECT id, '{{"properties":{{' || base || '}}}}' AS short,
+            '{{"properties":{{' || base || ',"Assignee":{{"people":[]}},"Tags":{{"multi_select":[{{"name":"tech"}}]}},"Due":{{"date":{{"start":"' || day || '"}}}},"Priority":{{"select":{{"name":"Medium"}}}},"Created by":{{"rich_text":[{{"text":{{"content":"agent"}}}}]}},"Started on":{{"date":{{"start":"' || day || '"}}}},"Task type":{{"select":{{"name":"Creative"}}}},"URL":{{"url":"u' || id || '"}}}}}}' AS "full",
+            '{{"properties":{{"Agent":{{"title":[{{"text":{{"content":"agent"}}}}]}},"Task":{{"rich_text":[{{"text":{{"content":"' || title || '"}}}}]}},"Document":{{"url":"u' || id || '"}}}}}}' AS log
+        FROM (SELECT *, strftime({_AS_OF}, '%Y-%m-%d') AS day, '"Task name":{{"title":[{{"text":{{"content":"' || title || '"}}}}]}},"Summary":{{"rich_text":[{{"text":{{"content":"python ' || status || '"}}}}]}},"Status":{{"status":{{"name":"Not started"}}}}' AS base FROM tasks)"""),
+    "document_and_mail_payloads": _tasks_sql(f"""
+        SELECT id, '{{' || doc || '}}' AS document, '{{' || doc || ',' || writer || '}}' AS shared,
+            '{{"title":"doc-' || strftime({_AS_OF}, '%Y%m%d-%H%M%S') || '",' || writer || ',"sendNotificationEmail":true}}' AS stamped,
+            '{{"to":"t@example.com","subject":"' || title || '","raw":"fn5-Pz8_","path":"/logs/' || id || '.csv","filename":"' || id || '.csv"}}' AS mail
+        FROM (SELECT *, '"title":"' || title || '","insert":{{"index":1,"text":"' || status || '"}}' AS doc, '"permission":{{"type":"user","role":"writer","emailAddress":"w@example.com"}}' AS writer FROM tasks)"""),
+    "mail_tasks": """SELECT 'Mail ' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS due, 'client' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 'Low' ELSE 'Medium' END AS priority,
+        'Order ' || o_orderkey || ' & client due: ' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' LOW' ELSE '' END AS content FROM orders""",
+    "mailbox_unread": "SELECT conv_id || '-' || turn AS id, text[1:60] AS snippet FROM conversations WHERE role = 'user' AND contains(lower(text[1:60]), 'the ')",
+    "delivery_status": _tasks_sql("""
+        SELECT sha256('chat' || chr(31) || id) AS key, CASE id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'sent' WHEN 2 THEN 'sent' ELSE 'failed' END AS state,
+            [0, 1, 2, 2, 3][id % 5 + 1] AS attempts, [NULL, NULL, 'code 500', 'ratelimited', 'code 404'][id % 5 + 1] AS error FROM tasks"""),
+    "delivery_dead_letters": _tasks_sql("""
+        SELECT sha256('chat' || chr(31) || id) AS task_id, 'chat error: ' || CASE id % 5 WHEN 3 THEN 'ratelimited' ELSE 'code 404' END || ' | Message: Task update' || chr(10) || '* task: ' || title
+            || chr(10) || '* status: ' || coalesce(priority, '') || chr(10) || '* due: ' || due AS error FROM tasks WHERE id % 5 > 2"""),
+    "delivery_due_again": _tasks_sql("SELECT sha256('chat' || chr(31) || id) AS key, CASE id % 5 WHEN 0 THEN 'pending' ELSE 'failed' END AS state FROM tasks WHERE id % 5 IN (0, 3)"),
     "keyed_update": _tasks_sql(f"SELECT id, status, CASE WHEN {_GUARD} THEN coalesce(nudges, 0) + 1 ELSE nudges END AS nudges FROM tasks"),
     "schema_inspect": "SELECT 'Priority' AS property, 'select' AS type, o_orderpriority AS option FROM orders GROUP BY 3 UNION ALL SELECT 'Title', 'title', NULL",
     "chat_updates": _tasks_sql("SELECT sha256('chat' || chr(31) || id) AS key, 'chat' AS channel, 'tasks' AS target, 'Task update' || chr(10) || '* task: ' || title || chr(10) || '* status: ' || coalesce(priority, '') || chr(10) || '* due: ' || due AS payload FROM tasks"),

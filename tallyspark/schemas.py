@@ -13,3 +13,4 @@ ERRORS = "task_id STRING, error STRING"
 MESSAGE = "id STRING, sender STRING, recipient STRING, unread BOOLEAN, received TIMESTAMP_NTZ, snippet STRING, headers ARRAY<STRUCT<name: STRING, value: STRING>>, parts ARRAY<STRUCT<mimeType: STRING, body: STRUCT<data: STRING>>>"
 HTML_MAIL = "subject STRING, body STRING"
 OUTBOX = "key STRING, channel STRING, target STRING, payload STRING"
+REPORT = "key STRING, at TIMESTAMP_NTZ, code INT, error STRING"

@@ -9,15 +9,18 @@ from tallyspark import schemas
 from tallyspark.operators import metrics, predicates
 
 
-def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None) -> DataFrame:
+def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None, missing: str = "empty") -> DataFrame:
     """Pages (id, properties) of response files with a ``results`` list.
 
-    ``on_error``: ``raise`` stops at a malformed file (E2), ``empty`` reads it as no pages (E3). With ``limit``,
-    the first pages by id (L2)."""
-    if on_error not in ("raise", "empty"):
-        raise ValueError("on_error is raise or empty")
+    ``on_error``: ``raise`` stops at a malformed file (E2), ``empty`` reads it as no pages (E3). ``missing``: a response without
+    ``results`` has no pages (``empty``, S3a) or stops the job (``raise``, S3b and S3c). With ``limit``, the first pages by id (L2)."""
+    if on_error not in ("raise", "empty") or missing not in ("raise", "empty"):
+        raise ValueError("on_error and missing are raise or empty")
     reader = spark.read.schema(schemas.PAGES).option("multiLine", True).option("mode", "FAILFAST" if on_error == "raise" else "PERMISSIVE")
-    pages = reader.json(path).select(F.explode("results").alias("page")).select("page.*")
+    results = F.col("results")
+    if missing == "raise":
+        results = F.when(results.isNotNull(), results).otherwise(F.raise_error(F.lit("a response has no results")))
+    pages = reader.json(path).select(F.explode(results).alias("page")).select("page.*")
     return pages if limit is None else pages.orderBy("id").limit(limit)
 
 
@@ -36,7 +39,7 @@ def csv_table(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 
 def latest_message(messages: DataFrame, sender: str | None = None, recipient: str | None = None) -> DataFrame:
-    """The newest unread message, then the greatest id."""
+    """The newest unread message, then the greatest id."""
     return metrics.latest(predicates.mailbox(messages, sender, recipient), "received", "id")
 
 

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local session that names none gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def append_history(rows: DataFrame, path: str, day: str = "Date") -> None:
@@ -24,15 +40,17 @@ def write_errors(errors: DataFrame, path: str) -> bool:
     return True
 
 
+def write_digest(lines: DataFrame, path: str, order: str = "id") -> None:
+    """The lines of a digest as text files, whose names follow the order of the lines."""
+    lines.orderBy("section", F.col(order).asc_nulls_first()).select("line").write.mode("overwrite").text(path)
+
+
 def add_to_outbox(rows: DataFrame, path: str) -> None:
-    """Append the outbox rows whose keys aren't there yet (K5 to K10): replays add nothing."""
+    """Append the outbox rows (with ``day``) whose keys aren't there yet (K5 to K10): replays add nothing.
+
+    The outbox is partitioned by day, and only the days of ``rows`` are looked up, as a replay has the days of the first run."""
     new = rows.dropDuplicates(["key"])
-    spark = rows.sparkSession
-    try:
-        known = spark.read.schema(rows.schema).parquet(path).select("key")
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(known, "key", "left_anti")
-    new.write.mode("append").parquet(path)
+    rows.limit(0).write.mode("append").partitionBy("day").parquet(path)  # there is a table from the first batch on
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    known = rows.sparkSession.read.schema(rows.schema).parquet(path).filter(F.col("day").between(first, last)).select("key")
+    new.join(known, "key", "left_anti").write.mode("append").partitionBy("day").parquet(path)

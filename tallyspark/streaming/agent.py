@@ -6,12 +6,8 @@ outbox rows are written, and their keys make a replay harmless.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark import schemas
@@ -30,17 +26,28 @@ def message_stream(spark: SparkSession, path: str, files_per_batch: int = 1, del
 
 def command_effects(messages: DataFrame, settings: Settings) -> DataFrame:
     """Outbox rows of a batch of command mails: a document, a task page and a reply for each (3.2)."""
-    unread = predicates.mailbox(messages)
-    parsed = flatten.commands(unread).join(unread.select("id", "received", "sender"), "id")
+    parsed = flatten.commands(predicates.mailbox(messages), "received", "sender")
     todo = parsed.filter(~predicates.mentions_done(F.col("title"), F.col("content")))
     agent = text.routed(F.col("content"), settings.routes, settings.agent)
     page = actions.page_payload(F.col("title"), F.col("content"), F.col("received"), kind="full", agent=settings.agent)
     reply = actions.mail_payload(F.col("sender"), F.concat(F.lit("Done: "), F.col("title")), F.col("content"))
     pieces = (("document", agent, actions.document_payload(F.col("title"), F.col("content"))), ("page", F.lit(settings.database), page), ("mail", F.col("sender"), reply))
-    out = [actions.outbox(todo, channel, target, payload, F.col("id")) for channel, target, payload in pieces]
+    out = [actions.outbox(todo, channel, target, payload, F.col("id"), day=F.col("received")) for channel, target, payload in pieces]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def snippet_effects(messages: DataFrame, settings: Settings, phrase: str, title: str, content: str, task: str) -> DataFrame:
+    """Outbox rows of unread mails whose snippet asks for something: a document, a log page with its link, and a mail about it
+    (S7b, F9, K5c). The document's link is a connector's to give: the page and the mail name the document's key."""
+    todo = messages.filter("unread").filter(predicates.asks_for(F.col("snippet"), phrase))
+    made = actions.outbox(todo, "document", F.lit(settings.agent), actions.document_payload(F.lit(title), F.lit(content)), F.col("id"), day=F.col("received"))
+    link = F.concat(F.lit("document:"), F.sha2(F.concat_ws("\x1f", F.lit("document"), F.col("id")), 256))
+    page = actions.page_payload(F.lit(task), F.lit(""), F.col("received"), link, "log", settings.agent)
+    note = actions.mail_payload(F.col("sender"), F.lit("Task Completed"), F.concat(F.lit("Document created and logged: "), link))
+    pages = actions.outbox(todo, "page", F.lit(settings.database), page, F.col("id"), day=F.col("received"))
+    return made.unionByName(pages).unionByName(actions.outbox(todo, "mail", F.col("sender"), note, F.col("id"), day=F.col("received")))
+
+
 def run_agent(messages: DataFrame, settings: Settings, outbox: str, errors: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Write the effects of each batch to the outbox (T1, T4). Messages without id become dead letters (T5);
     other failures stop the query and are retried from the checkpoint."""
@@ -58,11 +65,5 @@ def run_agent(messages: DataFrame, settings: Settings, outbox: str, errors: str,
 
 
 def nudge_counts(late: DataFrame) -> DataFrame:
-    """A stream of late tasks (id) as running nudge counts (id, nudges), kept as state by id."""
-
-    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(p) for p in parts)
-        state.update((n,))
-        yield pd.DataFrame({"id": [key[0]], "nudges": [n]})
-
-    return late.groupBy("id").applyInPandasWithState(count, "id string, nudges long", "nudges long", "update", GroupStateTimeout.NoTimeout)
+    """A stream of late tasks (id) as running nudge counts (id, nudges), kept as state by id (T6); for output mode update."""
+    return late.groupBy("id").agg(F.count(F.lit(1)).alias("nudges"))

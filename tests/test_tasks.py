@@ -1,13 +1,15 @@
 """Task pages, predicates, metrics, updates, files and streams on small rows."""
 
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.config import OVERDUE, Settings
 from tallyspark.functions import text
-from tallyspark.operators import actions, flatten, metrics, predicates
+from tallyspark.operators import actions, delivery, flatten, metrics, predicates
 from tallyspark.sources import readers, writers
 from tallyspark.streaming import agent
 
@@ -47,14 +49,17 @@ def test_overdue_policies(spark):
     assert by["today"] == [False, True, True] + [False] * 5
 
 
-def test_metrics_and_digest(spark):
+def test_metrics_and_digest(spark, tmp_path):
     rows = [(1, "A", "Done", "2024-01-01"), (2, "B", "In progress", "2024-01-01"), (3, None, "Waiting", "2024-01-05"), (4, "D", "odd", None), (5, "E", "Overdue", None)]
     df = spark.createDataFrame(rows, "id int, title string, status string, due string")
     now = F.lit("2024-01-05").cast("timestamp")
     v = metrics.metrics_vector(df, now).first().asDict()
     assert (v["Done"], v["In progress"], v["Overdue"], v["Waiting"], v["In review"]) == (1, 1, 2, 1, 0)
-    assert metrics.digest(df, now, "Waiting").first().digest == "Daily Task Summary for 2024-01-05\n\nOverdue:\n- B (was due 2024-01-01)\n\nDue Today:\n- Untitled\n\nWaiting on Waiting:\n- Untitled"
-    assert "Overdue:\nNone" in metrics.digest(df.limit(0), now, "Waiting").first().digest
+    writers.write_digest(metrics.digest_lines(df, now, "Waiting"), str(tmp_path / "digest"))
+    text_of = lambda: "".join(f.read_text() for f in sorted((tmp_path / "digest").glob("part-*")))
+    assert text_of() == "Daily Task Summary for 2024-01-05\n\nOverdue:\n- B (was due 2024-01-01)\n\nDue Today:\n- Untitled\n\nWaiting on Waiting:\n- Untitled\n"
+    writers.write_digest(metrics.digest_lines(df.limit(0), now, "Waiting"), str(tmp_path / "digest"))
+    assert text_of() == "Daily Task Summary for 2024-01-05\n\nOverdue:\nNone\n\nDue Today:\nNone\n\nWaiting on Waiting:\nNone\n"
     pivot = metrics.weekly_pivot(df.withColumn("day", F.to_date("due")), "day", "status", ["Done", "Waiting"]).collect()
     assert {(str(r.Week), r.Done, r.Waiting) for r in pivot if r.Week} == {("2024-01-01", 1, 1)}
     assert [r["count"] for r in metrics.value_counts(df, "status").collect()] == [1] * 5
@@ -91,6 +96,13 @@ def test_readers(spark, tmp_path):
     assert [r.id for r in readers.task_pages(spark, str(tmp_path / "p.json"), limit=1).collect()] == ["a"]
     (tmp_path / "q.json").write_text("{oops")
     assert readers.task_pages(spark, str(tmp_path / "q.json"), on_error="empty").count() == 0
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        readers.task_pages(spark, str(tmp_path / "q.json")).count()
+    (tmp_path / "r.json").write_text('{"object": "error"}')
+    assert readers.task_pages(spark, str(tmp_path / "r.json")).count() == 0
+    with pytest.raises(Exception, match="a response has no results"):
+        readers.task_pages(spark, str(tmp_path / "r.json"), missing="raise").collect()
+    assert readers.task_pages(spark, str(tmp_path / "p.json"), missing="raise").count() == 2
     (tmp_path / "s.json").write_text(json.dumps({"properties": {"P": {"type": "select", "select": {"options": [{"name": "x"}, {"name": "y"}]}}, "T": {"type": "title"}}}))
     assert sorted((r.property, r.option or "") for r in readers.database_schema(spark, str(tmp_path / "s.json")).collect()) == [("P", "x"), ("P", "y"), ("T", "")]
     assert readers.attachments(spark, str(tmp_path / "s.json")).count() == 1
@@ -99,6 +111,39 @@ def test_readers(spark, tmp_path):
     assert (mails["Task name"], mails.Due, mails.Tags, mails.Priority) == ("S", "2024-01-01", ["urgent"], "Low")
 
 
+def test_attachments_that_exist_travel(spark, tmp_path):
+    (tmp_path / "log.csv").write_bytes(b"a,b\n")
+    mails = spark.createDataFrame([(1, str(tmp_path / "log.csv")), (2, str(tmp_path / "gone.csv")), (3, None)], "id int, path string")
+    rows = actions.with_attachments(mails, readers.attachments(spark, str(tmp_path / "*.csv")))
+    got = rows.select("id", actions.mail_payload(F.lit("t"), F.lit("s"), F.lit("b"), filename=F.col("filename"), data=F.col("data")).alias("p")).collect()
+    payloads = {r.id: json.loads(r.p) for r in got}
+    assert (payloads[1]["filename"], payloads[1]["data"]) == ("log.csv", "YSxiCg==")
+    assert all("filename" not in payloads[k] and "data" not in payloads[k] and payloads[k]["to"] == "t" for k in (2, 3))
+
+
+def test_delivery(spark):
+    box = spark.createDataFrame([(k, "chat", "c", f"text {k}") for k in "abcde"], schemas.OUTBOX)
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, n)
+    reports = [("a", at(1), 200, None), ("b", at(2), 500, None), ("b", at(1), 200, "x"), ("c", at(1), None, None), ("c", at(5), 200, None), ("d", at(1), None, None), ("zz", at(1), 200, None)]
+    status = delivery.delivery_status(box, spark.createDataFrame(reports, schemas.REPORT))
+    assert sorted(tuple(r)[0:1] + tuple(r)[4:] for r in status.collect()) == [("a", "sent", 1, None), ("b", "failed", 2, "code 500"), ("c", "sent", 2, "no response"), ("d", "failed", 1, "no response"), ("e", "pending", 0, None)]
+    assert sorted(map(tuple, delivery.dead_letters(status, "chat").collect())) == [("b", "chat error: code 500 | Message: text b"), ("d", "chat error: no response | Message: text d")]
+    assert delivery.dead_letters(status, "mail").count() == 0
+    assert {r.key for r in delivery.due_again(status, most=2).collect()} == {"d", "e"}
+    none = delivery.delivery_status(box.limit(0), spark.createDataFrame([], schemas.REPORT))
+    assert none.count() == 0 and none.columns == [*box.columns, "state", "attempts", "error"]
+
+
+def test_snippet_agent(spark):
+    rows = [{**_message("1", ""), "snippet": "Please CREATE a google doc now"}, {**_message("2", ""), "snippet": "hello"}, {**_message("3", "", unread=False), "snippet": "create a google doc"}, {**_message("4", ""), "snippet": None}]
+    df = spark.read.schema(schemas.MESSAGE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    out = agent.snippet_effects(df, Settings(agent="Agent"), "create a google doc", "T", "C", "Create doc + log").collect()
+    by = {r.channel: r for r in out}
+    assert len(out) == 3 and json.loads(by["document"].payload)["insert"]["text"] == "C" and str(by["mail"].day) == "2024-01-01"
+    page = json.loads(by["page"].payload)["properties"]
+    assert page["Task"]["rich_text"][0]["text"]["content"] == "Create doc + log" and page["Document"]["url"] == "document:" + by["document"].key
+
+
 def _message(i, body, unread=True, received="2024-01-01T00:00:00"):
     import base64
 
