@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than ASCII white space.
@@ -42,15 +42,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def stored_in(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results read such tables, so they stay until ``forget`` or whoever owns the shared folder removes them."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stored_in(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application: once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored_in(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,15 +78,12 @@ def free_name(name: str, df: DataFrame) -> str:
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``rank`` from 0 in the given order: a range sort, then each part's offset."""
+    """``df`` with ``rank`` from 0 in the given order: a range sort, then each part's offset, from one row for each part."""
     kept = store(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
-    parts = sorted((r["__part"], r["n"], r["low"]) for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low")).collect())
-    offset, cases = 0, []
-    for part, n, low in parts:  # one for each part of the sort, not for each row
-        cases.append(f"WHEN {part} THEN {offset - low}L")
-        offset += n
-    shift = F.expr("CASE __part " + " ".join(cases) + " END") if cases else F.lit(0)
-    return kept.withColumn("rank", (F.col("__row") + shift).cast("long")).drop("__part", "__row")
+    parts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("low"))
+    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
+    shifts = parts.select("__part", (before - F.col("low")).alias("__shift"))
+    return kept.join(F.broadcast(shifts), "__part").withColumn("rank", F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

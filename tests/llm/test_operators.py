@@ -120,6 +120,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_ranks_and_stored_tables(spark):
+    from tallyspark.llm.common import forget, ranked, stored_in
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS v").repartition(7)
+    assert sorted((r.rank, r.v) for r in ranked(df, "v").collect()) == [(k, k) for k in range(1000)]
+    assert ranked(df.limit(0), "v").count() == 0
+    folder = stored_in(spark)
+    assert spark.read.schema("v long").parquet(f"{folder}/ranked-*").filter("v IS NOT NULL").count() == 1000
+    forget(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/ranked-*")
+
+
 # 2
 
 
@@ -388,6 +401,19 @@ def test_banded_alignment():
         assert all(near_dups.distance_within(a, b, m) == (d if d <= m else None) for m in (0, 1, 2, 3, 5, 20))
 
 
+def test_alignment_of_long_texts(monkeypatch):
+    """With narrow masks, and of texts whose words are nearly all distinct."""
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(50)}" for _ in range(300)]
+    b = [w if rng.random() < 0.9 else "x" for w in a[5:]]
+    d = edit_distance(a, b)
+    for mask in (7, 64, 1024):
+        monkeypatch.setattr(near_dups, "MASK", mask)
+        assert near_dups.distance_within(a, b, d) == d and near_dups.distance_within(a, b, d - 1) is None and near_dups.distance_within(b, a, 200) == d
+    long = [f"w{k}" for k in range(60_000)]
+    assert near_dups.distance_within(long, [*long[:30_000], "x", *long[30_010:]], 64) == 10
+
+
 def test_near_duplicates(spark, texts):
     ids = [3 * i for i in range(len(texts))]
     df = table(spark, texts, ids=ids)
