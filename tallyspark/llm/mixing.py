@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Documents fall by a keyed hash into ``blocks`` blocks of their source, so a block's documents
-   are dealt out together and a hot source is as many groups as any other.
+1. Documents fall by a keyed hash into ``blocks`` blocks of their source (1,024, and more in a large corpus), so a
+   block's documents are dealt out together and a hot source is as many groups as any other.
 2. Each source's target is water-filled under its cap (``max_epochs`` times its size).
 3. Per source (at most ``blocks`` rows each), full passes over all blocks and one permuted partial
    pass make an exact quota of block draws; a block is drawn ``max_epochs`` times at most.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, ranked, store, table
 
 FAN_OUT = 8
+#: Blocks that a source has at most, and words that a block and a shard are meant to hold in a large corpus.
+SLOTS, BLOCK_WORDS, SHARD_WORDS = 1 << 20, 1 << 20, 1 << 25
 
 
 def water_filled(sources: DataFrame, budget: float, total: float) -> DataFrame:
@@ -107,13 +109,21 @@ class Mix:
     and order, with underscores behind them where the documents have such columns. An empty table gives empty ones.
     """
 
-    def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, shards: int = 64, blocks: int = 1024, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, shards: int | None = None, blocks: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"):
         self.id_col, self.source_col, self.docs = id_col, source_col, docs
         self.names = tuple(free_name(n, docs) for n in ("shard", "epoch", "order"))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        self.block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
-        self.sized = store(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), self.block.alias("block")), "sized")
-        per_block = store(self.sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+        self.slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLOTS)).cast("int")
+        sized = store(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), self.slot.alias("slot")), "sized")
+        per_slot = sized.groupBy("source", "slot").agg(F.sum("size").alias("words"))
+        if blocks is None or shards is None:
+            most, every = sized.groupBy("source").agg(F.sum("size").alias("n")).agg(F.max("n"), F.sum("n")).first()
+            blocks = blocks or min(SLOTS, max(1024, (most or 0) // BLOCK_WORDS))
+            shards = shards or min(1 << 16, max(64, int(budget * (every or 0)) // SHARD_WORDS))
+        self.n_shards, self.blocks = shards, blocks
+        block = (F.col("slot") % blocks).alias("block")
+        self.sized = sized.select(id_col, "source", "size", block)
+        per_block = store(per_slot.select("source", block, "words").groupBy("source", "block").agg(F.sum("words").alias("words")), "blocks")
         names = ranked(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), F.col("source").asc_nulls_last())
         weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
         names = store(names.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * max_epochs).cast("double")), "sources")
@@ -150,14 +160,14 @@ class Mix:
         shard, epoch, order = self.names
         source, block = free_name("w_source", self.docs), free_name("w_block", self.docs)
         draws = self.draws.select(F.col("source").alias(source), F.col("block").alias(block), F.col("epoch").alias(epoch), F.col("shard").alias(shard))
-        hit = F.col(self.source_col).eqNullSafe(F.col(source)) & (self.block == F.col(block))
+        hit = F.col(self.source_col).eqNullSafe(F.col(source)) & (self.slot % self.blocks == F.col(block))
         place = F.xxhash64(F.lit(self.seed), F.col(shard), F.col(epoch), F.col(self.id_col))
         return self.docs.join(draws, hit).drop(source, block).withColumn(order, place)
 
     def shards(self) -> DataFrame:
         """``rows``, partitioned by shard and shuffled inside it: in the order of a keyed hash."""
         shard, _, order = self.names
-        return self.rows().repartition(shard).sortWithinPartitions(shard, order, self.id_col)
+        return self.rows().repartition(self.n_shards, shard).sortWithinPartitions(shard, order, self.id_col)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
