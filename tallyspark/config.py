@@ -11,6 +11,7 @@ NOT_STARTED, DONE = "Not started", "Done"
 COUNTED_STATUSES = ("Not started", "In progress", "In review", "Waiting", "Rejected – actioned", "Rejected – hold", "Done", "Overdue")
 PRIORITIES = ("High", "Medium", "Low")
 TAG_KEYWORDS = ("marketing", "growth", "client", "urgent")
+DOCUMENT_NOTE = ("Task Completed", "Document created and logged: ")
 TAG_TRIGGERS = (
     ("course", ("module", "lesson", "kartra", "coaching", "framework")),
     ("client", ("email", "consult", "booking")),

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.config import OVERDUE
+from tallyspark import schemas
+from tallyspark.config import OVERDUE, Settings
 from tallyspark.functions import text
 from tallyspark.operators import actions, delivery, flatten, metrics, predicates
 from tallyspark.sources import readers, writers
+from tallyspark.streaming import agent
 
 AS_OF = "1998-06-15 12:00:00"
 WAITING = "In progress"
@@ -197,7 +199,7 @@ def base64url_roundtrip(spark, sf_dir):
 
 def _messages(spark, sf_dir):
     """Turns of conversations as messages: those of users are unread."""
-    received = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).cast("timestamp_ntz")
+    received = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn") + 86400).cast("timestamp_ntz")
     return _read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("sender"), F.lit("team").alias("recipient"), (F.col("role") == "user").alias("unread"), received.alias("received"), F.substring("text", 1, 60).alias("snippet"), "conv_id", "turn", "text")
 
 
@@ -340,8 +342,48 @@ def delivery_due_again(spark, sf_dir):
     return delivery.due_again(_delivery(spark, sf_dir)).select("key", "state")
 
 
+def response_tasks(spark, sf_dir):
+    """Tasks out of captured responses, one for each customer's orders."""
+    o = _read(spark, sf_dir, "orders")
+    page = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.struct(F.struct(F.col("o_orderstatus").alias("name")).alias("status")).alias("Status")).alias("properties"))
+    path = writers.scratch(spark, "responses")
+    o.groupBy("o_custkey").agg(F.collect_list(page).alias("results")).select(F.to_json(F.struct("results")).alias("value")).write.text(path)
+    return flatten.tasks(readers.task_pages(spark, path, missing="raise", multi_line=False)).select("id", "status", "title", "due")
+
+
+def csv_roundtrip(spark, sf_dir):
+    """A snapshot exported as CSV and read back, with blanks, quotes and line breaks in its names."""
+    rows, path = tasks(spark, sf_dir), writers.scratch(spark, "csv")
+    name = F.concat(F.lit(' "'), F.col("title"), F.lit('", '), F.when(F.col("id") % 2 == 0, "\n").otherwise(""), F.col("due"), F.lit(" "))
+    writers.export_csv(rows.select(F.to_date("due").alias("Date"), name.alias("Task"), F.coalesce("status", F.lit("None")).alias("Status"), "due", F.col("priority").alias("Priority")), path)
+    return readers.csv_table(spark, path, schemas.SNAPSHOT, multi_line=True).select(F.col("Date").alias("day"), F.col("Task").alias("task"), F.col("Status").alias("status"), F.col("Due").alias("due"), F.col("Priority").alias("priority"))
+
+
+def agent_effects(spark, sf_dir):
+    """The mail agent as a stream over all turns of conversations, some of which come twice."""
+    part = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(text.to_base64url(F.col("text")).alias("data")).alias("body"))
+    head = F.struct(F.lit("Subject").alias("name"), F.col("id").alias("value"))
+    mails = _messages(spark, sf_dir).select("id", "sender", "recipient", "unread", "received", "snippet", F.array(head).alias("headers"), F.array(part).alias("parts"), "turn")
+    inbox, out = writers.scratch(spark, "inbox"), writers.scratch(spark, "outbox")
+    mails.unionByName(mails.filter("turn = 1")).drop("turn").coalesce(2).write.json(inbox)
+    stream = agent.message_stream(spark, inbox, delay="20000 days")
+    agent.run_agent(stream, Settings(), out, writers.scratch(spark, "errors"), writers.scratch(spark, "agent")).awaitTermination()
+    return spark.read.schema(f"{schemas.OUTBOX}, day date").parquet(out).select("key", "channel")
+
+
+def nudge_stream(spark, sf_dir):
+    """Running nudge counts of a stream of late tasks, each of which is late once or twice, at its end."""
+    late = tasks(spark, sf_dir).filter(predicates.overdue(F.col("status"), F.col("due"), as_of(), OVERDUE["guardian"])).select(F.col("id").cast("string").alias("id"))
+    inbox, out = writers.scratch(spark, "late"), writers.scratch(spark, "nudges")
+    late.unionByName(late.filter("CAST(id AS LONG) % 2 = 0")).coalesce(2).write.json(inbox)
+    counts = agent.nudge_counts(spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).json(inbox))
+    write = counts.writeStream.outputMode("update").foreachBatch(lambda rows, number: rows.write.mode("append").parquet(out))
+    write.option("checkpointLocation", writers.scratch(spark, "nudging")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id string, nudges long").parquet(out).groupBy("id").agg(F.max("nudges").alias("nudges"))
+
+
 QUERIES = {f.__name__: f for f in (
-    task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
+    response_tasks, csv_roundtrip, agent_effects, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
     keyword_tags, tag_triggers, text_priority, agent_routing, skip_done, props_extract, props_dead_letter, base64url_roundtrip,
@@ -428,6 +470,14 @@ ORACLE_SQL = {
         SELECT sha256('chat' || chr(31) || id) AS task_id, 'chat error: ' || CASE id % 5 WHEN 3 THEN 'ratelimited' ELSE 'code 404' END || ' | Message: Task update' || chr(10) || '* task: ' || title
             || chr(10) || '* status: ' || coalesce(priority, '') || chr(10) || '* due: ' || due AS error FROM tasks WHERE id % 5 > 2"""),
     "delivery_due_again": _tasks_sql("SELECT sha256('chat' || chr(31) || id) AS key, CASE id % 5 WHEN 0 THEN 'pending' ELSE 'failed' END AS state FROM tasks WHERE id % 5 IN (0, 3)"),
+    "response_tasks": "SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS status, '' AS title, '' AS due FROM orders",
+    "csv_roundtrip": _tasks_sql("SELECT due::DATE AS day, ' \"' || title || '\", ' || CASE WHEN id % 2 = 0 THEN chr(10) ELSE '' END || due || ' ' AS task, coalesce(status, 'None') AS status, due, priority FROM tasks"),
+    "agent_effects": f"""
+        WITH mails AS (SELECT conv_id || '-' || turn AS id, conv_id || '-' || turn AS subject, text AS body FROM conversations WHERE role = 'user'),
+        parsed AS (SELECT id, {_MARK('(?i)(?:title|subject)[:-]?\\s*(.*)', 'subject')} AS title, {_MARK('(?i)(?:content|body|note)[:-]?\\s*(.*)', 'body')} AS content FROM mails)
+        SELECT sha256(channel || chr(31) || id) AS key, channel FROM parsed, (SELECT unnest(['document', 'page', 'mail']) AS channel)
+        WHERE NOT contains(title, 'Done') AND NOT contains(content, 'Done')""",
+    "nudge_stream": _tasks_sql(f"SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS nudges FROM tasks WHERE {_GUARD}"),
     "keyed_update": _tasks_sql(f"SELECT id, status, CASE WHEN {_GUARD} THEN coalesce(nudges, 0) + 1 ELSE nudges END AS nudges FROM tasks"),
     "schema_inspect": "SELECT 'Priority' AS property, 'select' AS type, o_orderpriority AS option FROM orders GROUP BY 3 UNION ALL SELECT 'Title', 'title', NULL",
     "chat_updates": _tasks_sql("SELECT sha256('chat' || chr(31) || id) AS key, 'chat' AS channel, 'tasks' AS target, 'Task update' || chr(10) || '* task: ' || title || chr(10) || '* status: ' || coalesce(priority, '') || chr(10) || '* due: ' || due AS payload FROM tasks"),

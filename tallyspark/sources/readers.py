@@ -9,14 +9,15 @@ from tallyspark import schemas
 from tallyspark.operators import metrics, predicates
 
 
-def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None, missing: str = "empty") -> DataFrame:
+def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None, missing: str = "empty", multi_line: bool = True) -> DataFrame:
     """Pages (id, properties) of response files with a ``results`` list.
 
     ``on_error``: ``raise`` stops at a malformed file (E2), ``empty`` reads it as no pages (E3). ``missing``: a response without
-    ``results`` has no pages (``empty``, S3a) or stops the job (``raise``, S3b and S3c). With ``limit``, the first pages by id (L2)."""
+    ``results`` has no pages (``empty``, S3a) or stops the job (``raise``, S3b and S3c). With ``limit``, the first pages by id (L2).
+    Files hold one response, or, without ``multi_line``, one in each line."""
     if on_error not in ("raise", "empty") or missing not in ("raise", "empty"):
         raise ValueError("on_error and missing are raise or empty")
-    reader = spark.read.schema(schemas.PAGES).option("multiLine", True).option("mode", "FAILFAST" if on_error == "raise" else "PERMISSIVE")
+    reader = spark.read.schema(schemas.PAGES).option("multiLine", multi_line).option("mode", "FAILFAST" if on_error == "raise" else "PERMISSIVE")
     results = F.col("results")
     if missing == "raise":
         results = F.when(results.isNotNull(), results).otherwise(F.raise_error(F.lit("a response has no results")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyspark import schemas
-from tallyspark.config import Settings
+from tallyspark.config import DOCUMENT_NOTE, Settings
 from tallyspark.functions import text
 from tallyspark.operators import actions, flatten, predicates
 from tallyspark.sources import writers
@@ -43,7 +43,7 @@ def snippet_effects(messages: DataFrame, settings: Settings, phrase: str, title:
     made = actions.outbox(todo, "document", F.lit(settings.agent), actions.document_payload(F.lit(title), F.lit(content)), F.col("id"), day=F.col("received"))
     link = F.concat(F.lit("document:"), F.sha2(F.concat_ws("\x1f", F.lit("document"), F.col("id")), 256))
     page = actions.page_payload(F.lit(task), F.lit(""), F.col("received"), link, "log", settings.agent)
-    note = actions.mail_payload(F.col("sender"), F.lit("Task Completed"), F.concat(F.lit("Document created and logged: "), link))
+    note = actions.mail_payload(F.col("sender"), F.lit(DOCUMENT_NOTE[0]), F.concat(F.lit(DOCUMENT_NOTE[1]), link))
     pages = actions.outbox(todo, "page", F.lit(settings.database), page, F.col("id"), day=F.col("received"))
     return made.unionByName(pages).unionByName(actions.outbox(todo, "mail", F.col("sender"), note, F.col("id"), day=F.col("received")))
 

@@ -135,13 +135,13 @@ def test_delivery(spark):
 
 
 def test_snippet_agent(spark):
-    rows = [{**_message("1", ""), "snippet": "Please CREATE a google doc now"}, {**_message("2", ""), "snippet": "hello"}, {**_message("3", "", unread=False), "snippet": "create a google doc"}, {**_message("4", ""), "snippet": None}]
+    rows = [{**_message("1", ""), "snippet": "Kindly WRITE a memo today"}, {**_message("2", ""), "snippet": "hello"}, {**_message("3", "", unread=False), "snippet": "write a memo"}, {**_message("4", ""), "snippet": None}]
     df = spark.read.schema(schemas.MESSAGE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
-    out = agent.snippet_effects(df, Settings(agent="Agent"), "create a google doc", "T", "C", "Create doc + log").collect()
+    out = agent.snippet_effects(df, Settings(agent="Agent"), "write a memo", "T", "C", "memo and log").collect()
     by = {r.channel: r for r in out}
     assert len(out) == 3 and json.loads(by["document"].payload)["insert"]["text"] == "C" and str(by["mail"].day) == "2024-01-01"
     page = json.loads(by["page"].payload)["properties"]
-    assert page["Task"]["rich_text"][0]["text"]["content"] == "Create doc + log" and page["Document"]["url"] == "document:" + by["document"].key
+    assert page["Task"]["rich_text"][0]["text"]["content"] == "memo and log" and page["Document"]["url"] == "document:" + by["document"].key
 
 
 def _message(i, body, unread=True, received="2024-01-01T00:00:00"):
