@@ -263,6 +263,8 @@ def test_packing(spark, texts, encoding):
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 64
     assert packing.packed(df.limit(0), path, pattern).count() == 0
+    null = packing.segments(packing.packed(spark.createDataFrame([(None, "a b c"), (None, "d e"), (1, None)], "doc_id long, text string"), path, pattern)).collect()
+    assert [r.doc_id for r in null] == [None, None]
 
 
 # 6
@@ -351,6 +353,26 @@ def test_suffix_sorting():
         suffixes.WINDOW = old
 
 
+def test_long_texts_in_slices(monkeypatch):
+    """Every window is in one segment, with the minimiser that it has in the whole text."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc é") for _ in range(6_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([6]), pa.array([text])], ["id", "digest", "text"])
+
+    def windows():
+        out = {}
+        for found in suffixes._list_segments(iter([batch])):
+            for r in found.to_pylist():
+                assert r["id"] == 5 and r["n"] == 1
+                for w in range(r["start"], r["start"] + r["size"]):
+                    assert out.setdefault(w, (r["print"], r["mark"])) == (r["print"], r["mark"]) and 0 <= r["mark"] - w <= 368
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(suffixes, "STEP_BYTES", 700)
+    assert windows() == whole and len(whole) == len(text.encode()) - 399
+
+
 @pytest.mark.parametrize("hot", [10**6, 3, 1])
 def test_repeated_bytes(spark, texts, monkeypatch, hot):
     """With a low bound for hot fingerprints, all are cut in parts, and again in single windows."""
@@ -446,8 +468,9 @@ def test_large_buckets(spark):
     passage = words(rng, 40)
     docs = [" ".join(words(rng, 20, 10**6) + passage + words(rng, 20, 10**6)) for _ in range(120)]
     docs.append(docs[60].replace(passage[3], "other", 1))
-    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(table(spark, docs)).collect()}
-    assert got == {i: 60 if i == 120 else i for i in range(121)}
+    for exhaustive in (False, True):
+        got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(table(spark, docs), exhaustive=exhaustive).collect()}
+        assert got == {i: 60 if i == 120 else i for i in range(121)}
 
 
 # 10
