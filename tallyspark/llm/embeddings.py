@@ -7,9 +7,9 @@ more than that are settled by the tile product, and only the rest is computed in
 
 Equal vectors are one node. Nodes are sorted by the signs of fixed projections and cut into blocks of
 ``BLOCK``, and ``SPAN`` blocks in a row are a region. Two regions are looked into only if their centres' angle allows a link
-between any of their vectors, and so with blocks. Blocks meet in a tile by their codes, scales and errors alone; only
-where pairs may reach the threshold do the tile's vectors follow. A tile hands on link counts and local components,
-never its pairs. The products of int8 codes run as single-precision matrix products over slices of ``SLICE``
+between any of their vectors, and so with blocks. Two blocks meet in a tile by their codes, scales and errors alone. Up to
+``FEW`` pairs that may reach the threshold leave a tile as pairs, whose vectors are fetched; a tile with more, and a
+block with itself, is computed with its vectors and hands on link counts and local components, never its pairs. The products of int8 codes run as single-precision matrix products over slices of ``SLICE``
 components, in which their sums are exact.
 """
 
@@ -31,6 +31,7 @@ from .components import components
 BLOCK = 4096
 SPAN = 64
 STRIP = 1024
+FEW = 4096
 SLICE = 1024
 SIGNS = 24
 
@@ -117,15 +118,18 @@ def _near(left: _Block, right: _Block, same: bool, threshold: float) -> Iterator
         yield (i[i < j], j[i < j]) if same else (i, j)
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
 def _tile(left: _Block, right: _Block, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs with a cosine of ``threshold`` or more, in double precision."""
     found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in _near(left, right, same, threshold):
         for part in range(0, len(i), 1 << 16):
             a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            x, y = left.raw[a], right.raw[b]
-            x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-            cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            cos = _cosine(left.raw[a], right.raw[b])
             found_i.append(a[cos >= threshold])
             found_j.append(b[cos >= threshold])
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -191,14 +195,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         return tiles.join(left, ["dim", "block"]).join(right, ["dim", "other"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tiles in which a pair may reach the threshold."""
+        """The pairs (a, b) that may reach the threshold; of a tile with more than ``FEW``, one row without a pair."""
+        names = ("dim", "block", "other", "a", "b")
         for batch in batches:
-            keep = []
             for k in range(batch.num_rows):
                 row = {n: batch[n][k].as_py() for n in batch.schema.names}
-                pairs = _near(_Block(row, "l", row["dim"]), _Block(row, "r", row["dim"]), row["block"] == row["other"], threshold)
-                keep.append(any(len(i) for i, _ in pairs))
-            yield pa.RecordBatch.from_arrays([batch[n] for n in ("dim", "block", "other")], ["dim", "block", "other"]).filter(pa.array(keep, pa.bool_()))
+                left, right = _Block(row, "l", row["dim"]), _Block(row, "r", row["dim"])
+                pairs, n = [], 0
+                for i, j in _near(left, right, False, threshold):
+                    pairs.append((left.ids[i], right.ids[j]))
+                    n += len(i)
+                    if n > FEW:
+                        break
+                ids = [pa.array([None], pa.int64())] * 2 if n > FEW else [pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)]
+                n = len(ids[0])
+                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]] * n, pa.int32()), *(pa.array([row[c]] * n, pa.int64()) for c in names[1:3]), *ids], names)
+
+    def recompute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both ends of the pairs that reach it in double precision."""
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims):
+                some = batch.filter(pa.array(dims == dim))
+                vectors = [some[c].flatten().to_numpy().reshape(-1, dim) for c in ("va", "vb")]
+                hit = some.filter(pa.array(_cosine(*vectors) >= threshold))
+                a, b, na, nb = (hit[c].to_numpy() for c in ("a", "b", "na", "nb"))
+                low = np.minimum(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]) for x, y in ((a, b), (nb, na), (low, low))], ["node", "n", "root"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +234,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["node", "n", "root"])
 
     quantised = ("ids", "times", "code", "scale", "error")
-    # of a block with itself something is near more often than not
-    some = joined_tiles(tiles.filter("block <> other"), *quantised).mapInArrow(look, "dim int, block long, other long")
-    some = store(some.unionByName(tiles.filter("block = other")), "tiles")
-    found = store(joined_tiles(some, *quantised, "raw").mapInArrow(multiply, "node long, n long, root long"), "found")
+    seen = store(joined_tiles(tiles.filter("block <> other"), *quantised).mapInArrow(look, "dim int, block long, other long, a long, b long"), "seen")
+    dense = store(seen.filter("a IS NULL").select("dim", "block", "other").unionByName(tiles.filter("block = other")), "dense")
+    dense = joined_tiles(dense, *quantised, "raw").mapInArrow(multiply, "node long, n long, root long")
+    vectors = nodes.select("node", "copies", "vec")
+    left = vectors.select(F.col("node").alias("a"), F.col("copies").alias("na"), F.col("vec").alias("va"))
+    right = vectors.select(F.col("node").alias("b"), F.col("copies").alias("nb"), F.col("vec").alias("vb"))
+    pairs = seen.filter("a IS NOT NULL").select("dim", "a", "b").join(left, "a").join(right, "b")
+    few = pairs.select("dim", "a", "b", "na", "nb", "va", "vb").mapInArrow(recompute, "node long, n long, root long")
+    found = store(dense.unionByName(few), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     out = members.join(counts, "node", "left").join(comps, "node", "left")

@@ -80,6 +80,11 @@ def test_embeddings(spark):
         embeddings.BLOCK = old
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], comp[i], comp[i] == i) for i in ids} and len(got) == len(ids)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    some = rng.standard_normal((5000, 4)) + np.array([9.0, 0, 0, 0])  # all near each other: more pairs between two blocks than leave a tile
+    near = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<double>")).collect()
+    some /= np.linalg.norm(some, axis=1)[:, None]
+    links = (some @ some.T >= 0.95).sum(1) - 1
+    assert sum(abs(r.n_links - links[r.vec_id]) > 0 for r in near) == 0 and len(near) == 5000 and len({r.component_id for r in near}) == 1
     null = embeddings.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in null} == {(None, 0, None, True), (4, 0, 4, True)} and len(null) == 2
 
