@@ -20,16 +20,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks all neighbours of an id to its least neighbour: first those above the id
     (large star), then those below (small star). Least neighbours come from a pre-aggregated
-    minimum and go back by a join, so a hub's links are never in one group. Rounds end when the
+    minimum and go back by a join, whose second key makes Spark deal both sides anew: so it can split a
+    hub's links, which would otherwise stay with the aggregate in one task. Rounds end when the
     links are stars; a path of n ids takes about log n of them. Each round is stored.
     """
+    again = F.xxhash64("u").alias("again")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = store(edges, "links")
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = both.filter("v > u").select("u", "v", again).join(least.select("u", "m", again), ["u", "again"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = large.select("u", "v", again).join(least.select("u", "m", again), ["u", "again"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = store(small.unionByName(least.toDF("u", "v")).distinct(), "stars")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
