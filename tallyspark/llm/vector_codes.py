@@ -43,6 +43,8 @@ class Codebook:
     def __init__(self, entries: np.ndarray):
         self.entries = entries
         n, dim = entries.shape
+        if not n:  # of an empty table, which has no vector to code either
+            return
         cells = 1 << BITS
         # marks between cells: cell c of a coordinate holds the values from low[c] to high[c], those that its entries take
         marks = np.quantile(entries, np.arange(1, cells) / cells, axis=0, method="lower")
