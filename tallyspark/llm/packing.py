@@ -1,7 +1,7 @@
 """Token ids packed into rows of one width, by best-fit decreasing.
 
 Texts are tokenised and cut into parts of up to ``width`` ids, so an overlong document loses nothing.
-Parts are dealt by hash to shards of bounded size. In a shard, the longest part goes first, each to the
+Parts are dealt by a hash of their document and ids to shards of bounded size, repeated rows by their number in their task, too. In a shard, the longest part goes first, each to the
 fullest row that still has room; a segment tree over the room left finds that row. A shard's rows are
 written as blocks: the id matrix, the cumulative lengths of its segments, and position ids that start
 anew with each segment.
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .common import chunks, table
 WIDTH, BLOCK_ROWS = 2048, 256
 #: Bytes of text that a shard is meant to hold.
 SHARD_BYTES = 8 << 20
+#: Parts whose repetitions a task counts at once.
+COUNTED = 1 << 18
 #: Tasks that shards are dealt to at most; beyond, a task packs several, one after the other.
 PARTITIONS = 1 << 16
 
@@ -102,8 +106,8 @@ def packed(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, id_col:
     allows it, else 4; the first free id fills up), ``cumulative`` (0 and the end of each segment, counted over
     the block's segments in order of row and offset), ``positions`` (n_rows x width, 2 or 4 bytes) and ``segments``.
 
-    Null and empty texts have no ids and so no segment. Repeated rows are packed each by itself. Ids are
-    longs and may be null; ties in length go by id and part. A very long text is cut in parts of ``width`` ids, which go to
+    Null and empty texts have no ids and so no segment. Repeated rows are packed each by itself and spread like others. Ids are
+    longs and may be null; such rows are told apart by their ids. Ties in length go by id and part. A very long text is cut in parts of ``width`` ids, which go to
     shards of their own. Other columns, whatever their names, are not read. An empty table gives an empty table.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -112,17 +116,27 @@ def packed(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, id_col:
     place = "<u2" if width <= 1 << 16 else "<u4"
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Ids.of(path, pattern)
+        codec, task = Ids.of(path, pattern), TaskContext.get().partitionId()
+        seen: Counter = Counter()
         for batch in chunks(batches):
             rows = []
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = np.array(codec.encode(text or ""), codec.kind)
-                rows += [(i, k // width, len(ids[k : k + width]), ids[k : k + width].tobytes()) for k in range(0, len(ids), width)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["id", "part", "n", "ids"])
+                for k in range(0, len(ids), width):
+                    cut = ids[k : k + width].tobytes()
+                    key = hashlib.blake2b(cut, digest_size=8, key=repr((i, k)).encode()).digest()
+                    again = seen[key]
+                    seen[key] += 1
+                    if again:  # a repeated row goes elsewhere
+                        key = hashlib.blake2b(key, digest_size=8, key=repr((task, again)).encode()).digest()
+                    rows.append((i, k // width, len(cut) // ids.itemsize, cut, int.from_bytes(key, "little") % shards))
+            if len(seen) > COUNTED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], ["id", "part", "n", "ids", "shard"])
 
     def pack(group: pa.Table) -> pa.Table:
         codec = Ids.of(path, pattern)
-        group = group.sort_by([("n", "descending"), ("id", "ascending"), ("part", "ascending")])
+        group = group.sort_by([("n", "descending"), ("id", "ascending"), ("part", "ascending"), ("ids", "ascending")])
         lengths = group["n"].to_pylist()
         where = best_fit(lengths, width)
         order = sorted(range(len(where)), key=where.__getitem__)
@@ -149,8 +163,7 @@ def packed(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, id_col:
         kinds = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("n_rows", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("cumulative", pa.list_(pa.int32())), ("positions", pa.binary()), ("segments", pa.list_(segment))])
         return pa.Table.from_pylist(out, kinds)
 
-    cut = src.mapInArrow(parts, "id long, part int, n int, ids binary")
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)))
+    dealt = src.mapInArrow(parts, "id long, part int, n int, ids binary, shard long")
     return dealt.repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInArrow(pack, BLOCKS)
 
 
