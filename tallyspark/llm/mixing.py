@@ -104,16 +104,16 @@ class Mix:
 
     A null source is a source of its own, after all others; null and empty texts have size 0 and, like
     sources of size 0, are never drawn for words but travel with their block. Repeated rows count each and are
-    drawn together; null ids share a block. A very long text is drawn whole or not, and a target is met as nearly as
+    drawn together; rows without id are dealt by their texts, and equal ones of them are drawn together. A very long text is drawn whole or not, and a target is met as nearly as
     the blocks allow. The id, source and text columns are read and nothing else; ``names`` has those of shard, epoch
     and order, with underscores behind them where the documents have such columns. An empty table gives empty ones.
     """
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, shards: int | None = None, blocks: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"):
-        self.id_col, self.source_col, self.docs = id_col, source_col, docs
+        self.id_col, self.source_col, self.text_col, self.docs = id_col, source_col, text_col, docs
         self.names = tuple(free_name(n, docs) for n in ("shard", "epoch", "order"))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        self.slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLOTS)).cast("int")
+        self.slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(SLOTS)).cast("int")
         sized = store(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), self.slot.alias("slot")), "sized")
         per_slot = sized.groupBy("source", "slot").agg(F.sum("size").alias("words"))
         if blocks is None or shards is None:
@@ -161,7 +161,7 @@ class Mix:
         source, block = free_name("w_source", self.docs), free_name("w_block", self.docs)
         draws = self.draws.select(F.col("source").alias(source), F.col("block").alias(block), F.col("epoch").alias(epoch), F.col("shard").alias(shard))
         hit = F.col(self.source_col).eqNullSafe(F.col(source)) & (self.slot % self.blocks == F.col(block))
-        place = F.xxhash64(F.lit(self.seed), F.col(shard), F.col(epoch), F.col(self.id_col))
+        place = F.xxhash64(F.lit(self.seed), F.col(shard), F.col(epoch), F.col(self.id_col), F.when(F.col(self.id_col).isNull(), F.col(self.text_col)))
         return self.docs.join(draws, hit).drop(source, block).withColumn(order, place)
 
     def shards(self) -> DataFrame:
