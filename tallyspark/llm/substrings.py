@@ -109,7 +109,7 @@ def _runs(*equal_if_same: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 #: Id, digest, first window and number of windows of each string.
-_PARTS = ("<i8", "<i4", "<i4", "<i4")
+_PARTS = ("<i8", "<i8", "<i4", "<i4")
 
 
 def _write(parts: list[np.ndarray], text: bytes) -> bytes:
@@ -235,7 +235,7 @@ def _mark(group: pa.Table) -> pa.Table:
         begin = _runs(w.text[marked], step=w.at[marked])
         text = w.text[marked][begin]
         ids, digests, starts, sizes = ids[text], digests[text], starts[text] + w.place[marked][begin], np.diff(np.r_[begin, len(marked)])
-    return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.int32()), "start": pa.array(starts.astype(np.int32)), "size": pa.array(sizes.astype(np.int32))})
+    return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.int64()), "start": pa.array(starts.astype(np.int32)), "size": pa.array(sizes.astype(np.int32))})
 
 
 def _cover(n: int, runs: list[dict] | None) -> np.ndarray:
@@ -263,7 +263,7 @@ def repeated_windows(src: DataFrame) -> DataFrame:
     # HOT_MOST at most, as each has its share of the windows
     hot = np.sort(np.array([r["kind"] for r in counts.filter((F.col("n") > hot_share(windows, buckets)) & F.col("kind").isNotNull()).select("kind").collect()], np.int64).view(U64))
     sent = src.mapInArrow(_send(buckets, hot), "bucket long, strings binary")
-    return store(sent.groupBy("bucket").applyInArrow(_mark, "id long, digest int, start int, size int"), "windows")
+    return store(sent.groupBy("bucket").applyInArrow(_mark, "id long, digest long, start int, size int"), "windows")
 
 
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
@@ -272,12 +272,13 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Ids are longs; a null one counts as the least long. Null and empty texts, and texts of fewer than ``N``
     words, lose nothing. Rows that share an id are one document: of two equal windows at the same start of
-    such rows neither is earlier, so repeated rows give repeated results. A very long text is a step of its
+    such rows neither is earlier, so repeated rows give repeated results; texts that share an id are told apart by 64-bit hashes. A very long text is a step of its
     own, so a task needs memory for its longest text. Other columns, whatever their names, are not read. An
     empty table gives an empty table.
     """
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.hash(text_col).alias("digest"), F.col(text_col).alias("text"))
-    runs = repeated_windows(src).groupBy("id", "digest").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    # a set: repeated rows find the same runs, each of them
+    runs = repeated_windows(src).groupBy("id", "digest").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches):

@@ -209,7 +209,7 @@ def _runs(ids, digests, starts: list[np.ndarray]) -> pa.Table:
 
 def _sort(group: pa.Table) -> pa.Table:
     """Repeated windows of the single strings of a bucket; strings of several fingerprints are sorted together."""
-    rows = list({(r["print"], r["kind"]): r for r in group.to_pylist()}.values())  # a repeated row is fetched more than once
+    rows = group.to_pylist()
     found = repeats([r["bytes"] for r in rows])
     some = [k for k, r in enumerate(rows) if r["n"] == 1]
     return _runs([rows[k]["id"] for k in some], [rows[k]["digest"] for k in some], [found[k] + rows[k]["start"] for k in some])
@@ -219,7 +219,8 @@ def _asked(src: DataFrame, asked: DataFrame) -> DataFrame:
     """Texts (id, digest, text) with the strings that are asked of each, as a table."""
     ask = F.struct("print", "kind", "n", "start", "size", "mark", "hot")
     asks = asked.groupBy("id", "digest").agg(F.collect_list(ask).alias("asks"), F.max("hot").alias("hot"))
-    return store(src.join(asks, ["id", "digest"]).select("id", "digest", "text", "asks", "hot"), "asked")
+    # repeated rows are fetched once: the join has them in order already
+    return store(src.join(asks, ["id", "digest"]).select("id", "digest", "text", "asks", "hot").dropDuplicates(["id", "digest"]), "asked")
 
 
 def _each_ask(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[Iterator[tuple[int, int, bytes, dict]]]:
@@ -307,12 +308,13 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Ids are longs; a null one counts as the least long. Null counts as empty; texts of fewer than ``WINDOW`` bytes
     lose nothing. Very long texts are taken in slices, of any length that a string may have. Every row is a text of
-    its own, so a repeated row repeats itself. Other columns, whatever their names, are not read. An empty table
+    its own, so a repeated row repeats itself and loses all its bytes; its runs are found and kept once, whatever its repetitions. Other columns, whatever their names, are not read. An empty table
     gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    runs = repeated_bytes(src).groupBy("id", "digest").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    # a set: repeated rows find the same runs, each of them
+    runs = repeated_bytes(src).groupBy("id", "digest").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_bytes else [])]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
