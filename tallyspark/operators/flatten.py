@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark import schemas
 from tallyspark.functions import properties as p
@@ -19,9 +20,21 @@ def parse_pages(raw: DataFrame, column: str = "value", id_column: str | None = N
     return rows.select(key.alias("id"), F.col("_page.properties").alias("properties"), reason.alias("error"))
 
 
+def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
+    """JSON texts as messages with ``error`` and ``raw``, and the other columns of ``raw`` beside them: an unreadable text and
+    a message without id keep their row and their text, with a reason (E1, T5)."""
+    message = F.from_json(F.col(column), f"{schemas.MESSAGE}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    rows = raw.withColumn("_message", message)
+    blank = F.coalesce(F.trim(column), F.lit("")) == ""
+    reason = F.when(blank, F.lit("empty record")).when(F.col("_message._corrupt").isNotNull(), F.lit("malformed record")).when(F.coalesce(F.trim("_message.id"), F.lit("")) == "", F.lit("message without id"))
+    names = T.StructType.fromDDL(schemas.MESSAGE).names
+    return rows.select(*(c for c in raw.columns if c != column and c not in names), *(F.col(f"_message.{n}").alias(n) for n in names), reason.alias("error"), F.col(column).alias("raw"))
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, error rows of task_id and error)."""
-    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select(F.col("id").alias("task_id"), "error")
+    """(good rows, error rows of task_id and error), with the raw text of error rows where there is one."""
+    raw = [c for c in ("raw",) if c in rows.columns]
+    return rows.filter("error IS NULL").drop("error", *raw), rows.filter("error IS NOT NULL").select(F.col("id").alias("task_id"), "error", *raw)
 
 
 def tasks(pages: DataFrame) -> DataFrame:

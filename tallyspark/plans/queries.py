@@ -365,25 +365,63 @@ def agent_effects(spark, sf_dir):
     head = F.struct(F.lit("Subject").alias("name"), F.col("id").alias("value"))
     mails = _messages(spark, sf_dir).select("id", "sender", "recipient", "unread", "received", "snippet", F.array(head).alias("headers"), F.array(part).alias("parts"), "turn")
     inbox, out = writers.scratch(spark, "inbox"), writers.scratch(spark, "outbox")
-    mails.unionByName(mails.filter("turn = 1")).drop("turn").coalesce(2).write.json(inbox)
-    stream = agent.message_stream(spark, inbox, delay="20000 days")
+    mails.unionByName(mails.filter("turn = 1")).drop("turn").write.json(inbox)
+    stream = agent.message_stream(spark, inbox, files_per_batch=1000, delay="20000 days")
     agent.run_agent(stream, Settings(), out, writers.scratch(spark, "errors"), writers.scratch(spark, "agent")).awaitTermination()
-    return spark.read.schema(f"{schemas.OUTBOX}, day date").parquet(out).select("key", "channel")
+    return writers.ledger(spark, out, writers.EFFECT).select("key", "channel")
+
+
+def _mailbox(spark, sf_dir):
+    """Outbox and dead letters of the mail agent over a mailbox of all turns: some of its lines are broken, some messages have
+    no id, some come in two files; all is run twice, the second time with a lost checkpoint."""
+    part = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(text.to_base64url(F.col("text")).alias("data")).alias("body"))
+    head = F.struct(F.lit("Subject").alias("name"), F.col("id").alias("value"))
+    rows = _messages(spark, sf_dir).withColumns({"headers": F.array(head), "parts": F.array(part), "kind": F.col("conv_id") % 7})
+    whole = F.to_json(F.struct("id", "sender", "recipient", "unread", "received", "snippet", "headers", "parts"))
+    line = F.when(F.col("kind") == 3, F.concat(F.lit("{broken "), F.col("id"))).when(F.col("kind") == 5, F.concat(F.lit('{"snippet": "'), F.col("id"), F.lit('"}'))).otherwise(whole)
+    inbox, out, letters = (writers.scratch(spark, name) for name in ("mailbox", "outbox", "letters"))
+    lines = rows.select(line.alias("value"), "kind", "turn")
+    lines.unionByName(lines.filter("kind = 1")).select("value").write.text(inbox)
+    for _ in range(2):
+        agent.run_agent(agent.mailbox_stream(spark, inbox), Settings(), out, letters, writers.scratch(spark, "agent")).awaitTermination()
+    return out, letters
+
+
+def mailbox_effects(spark, sf_dir):
+    return writers.ledger(spark, _mailbox(spark, sf_dir)[0], writers.EFFECT).select("key", "channel", F.col("day").cast("string").alias("day"))
+
+
+def mailbox_letters(spark, sf_dir):
+    return writers.letters_in(spark, _mailbox(spark, sf_dir)[1]).select("task_id", "error", "raw")
+
+
+def outbox_ledger(spark, sf_dir):
+    """Chat effects and the reports of their attempts, written together and then once more; some days are null."""
+    rows = tasks(spark, sf_dir)
+    day = F.when(F.col("id") % 4 != 0, F.to_date("due"))
+    effects = actions.outbox(rows, "chat", F.lit("tasks"), F.col("title"), F.col("id"), day=day)
+    failed = F.col("id") % 3 == 0
+    reports = rows.select(F.sha2(F.concat_ws("\x1f", F.lit("chat"), F.col("id").cast("string")), 256).alias("key"), F.to_timestamp_ntz("due").alias("at"), F.when(failed, 500).otherwise(200).alias("code"), F.when(failed, F.lit("late")).alias("error"), day.alias("day"))
+    path = writers.scratch(spark, "ledger")
+    for _ in range(2):
+        writers.add_to_outbox(effects, path, reports)
+    status = delivery.delivery_status(writers.ledger(spark, path, writers.EFFECT), writers.ledger(spark, path, writers.REPORT).drop("day"))
+    return status.select("key", F.col("day").cast("string").alias("day"), "state", "attempts", "error")
 
 
 def nudge_stream(spark, sf_dir):
     """Running nudge counts of a stream of late tasks, each of which is late once or twice, at its end."""
     late = tasks(spark, sf_dir).filter(predicates.overdue(F.col("status"), F.col("due"), as_of(), OVERDUE["guardian"])).select(F.col("id").cast("string").alias("id"))
     inbox, out = writers.scratch(spark, "late"), writers.scratch(spark, "nudges")
-    late.unionByName(late.filter("CAST(id AS LONG) % 2 = 0")).coalesce(2).write.json(inbox)
-    counts = agent.nudge_counts(spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).json(inbox))
+    late.unionByName(late.filter("CAST(id AS LONG) % 2 = 0")).write.json(inbox)
+    counts = agent.nudge_counts(spark.readStream.schema("id string").option("maxFilesPerTrigger", 1000).json(inbox))
     write = counts.writeStream.outputMode("update").foreachBatch(lambda rows, number: rows.write.mode("append").parquet(out))
     write.option("checkpointLocation", writers.scratch(spark, "nudging")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id string, nudges long").parquet(out).groupBy("id").agg(F.max("nudges").alias("nudges"))
 
 
 QUERIES = {f.__name__: f for f in (
-    response_tasks, csv_roundtrip, agent_effects, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
+    response_tasks, csv_roundtrip, agent_effects, mailbox_effects, mailbox_letters, outbox_ledger, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
     keyword_tags, tag_triggers, text_priority, agent_routing, skip_done, props_extract, props_dead_letter, base64url_roundtrip,
@@ -477,6 +515,18 @@ ORACLE_SQL = {
         parsed AS (SELECT id, {_MARK('(?i)(?:title|subject)[:-]?\\s*(.*)', 'subject')} AS title, {_MARK('(?i)(?:content|body|note)[:-]?\\s*(.*)', 'body')} AS content FROM mails)
         SELECT sha256(channel || chr(31) || id) AS key, channel FROM parsed, (SELECT unnest(['document', 'page', 'mail']) AS channel)
         WHERE NOT contains(title, 'Done') AND NOT contains(content, 'Done')""",
+    "mailbox_effects": f"""
+        WITH mails AS (SELECT conv_id || '-' || turn AS id, conv_id || '-' || turn AS subject, text AS body, strftime(to_timestamp(conv_id * 1000 + turn + 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day
+            FROM conversations WHERE role = 'user' AND conv_id % 7 NOT IN (3, 5)),
+        parsed AS (SELECT id, day, {_MARK('(?i)(?:title|subject)[:-]?\\s*(.*)', 'subject')} AS title, {_MARK('(?i)(?:content|body|note)[:-]?\\s*(.*)', 'body')} AS content FROM mails)
+        SELECT sha256(channel || chr(31) || id) AS key, channel, day FROM parsed, (SELECT unnest(['document', 'page', 'mail']) AS channel)
+        WHERE NOT contains(title, 'Done') AND NOT contains(content, 'Done')""",
+    "mailbox_letters": """
+        SELECT '' AS task_id, 'malformed record' AS error, '{broken ' || conv_id || '-' || turn AS raw FROM conversations WHERE conv_id % 7 = 3
+        UNION ALL SELECT '', 'message without id', '{"snippet": "' || conv_id || '-' || turn || '"}' FROM conversations WHERE conv_id % 7 = 5""",
+    "outbox_ledger": _tasks_sql("""
+        SELECT sha256('chat' || chr(31) || id) AS key, CASE WHEN id % 4 <> 0 THEN due END AS day, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'sent' END AS state,
+            1 AS attempts, CASE WHEN id % 3 = 0 THEN 'late' END AS error FROM tasks"""),
     "nudge_stream": _tasks_sql(f"SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS nudges FROM tasks WHERE {_GUARD}"),
     "keyed_update": _tasks_sql(f"SELECT id, status, CASE WHEN {_GUARD} THEN coalesce(nudges, 0) + 1 ELSE nudges END AS nudges FROM tasks"),
     "schema_inspect": "SELECT 'Priority' AS property, 'select' AS type, o_orderpriority AS option FROM orders GROUP BY 3 UNION ALL SELECT 'Title', 'title', NULL",

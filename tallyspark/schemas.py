@@ -10,7 +10,11 @@ TASK = "title STRING, summary STRING, status STRING, assignee ARRAY<STRING>, due
 SNAPSHOT = "Date DATE, Task STRING, Status STRING, Due STRING, Priority STRING"
 TASK_LOG = "Title STRING, Assignee STRING, Priority STRING, Due STRING, `Needs Review` STRING"
 ERRORS = "task_id STRING, error STRING"
+#: A dead letter with its raw text; the key tells its record apart from all others.
+LETTER = f"key STRING, {ERRORS}, raw STRING"
 MESSAGE = "id STRING, sender STRING, recipient STRING, unread BOOLEAN, received TIMESTAMP_NTZ, snippet STRING, headers ARRAY<STRUCT<name: STRING, value: STRING>>, parts ARRAY<STRUCT<mimeType: STRING, body: STRUCT<data: STRING>>>"
 HTML_MAIL = "subject STRING, body STRING"
 OUTBOX = "key STRING, channel STRING, target STRING, payload STRING"
 REPORT = "key STRING, at TIMESTAMP_NTZ, code INT, error STRING"
+#: What one table holds of effects and attempts; ``kind``, ``day`` and ``commit`` are folders.
+LEDGER = f"{OUTBOX}, at TIMESTAMP_NTZ, code INT, error STRING, commit STRING, kind STRING, day DATE"

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspark import schemas
+from tallyspark.sources import committed, folders
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -45,12 +50,63 @@ def write_digest(lines: DataFrame, path: str, order: str = "id") -> None:
     lines.orderBy("section", F.col(order).asc_nulls_first()).select("line").write.mode("overwrite").text(path)
 
 
-def add_to_outbox(rows: DataFrame, path: str) -> None:
-    """Append the outbox rows (with ``day``) whose keys aren't there yet (K5 to K10): replays add nothing.
+EFFECT, REPORT = "effect", "report"
+
+
+def _entries(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows in the columns of the ledger; what they don't have is null."""
+    fields = [f for f in T.StructType.fromDDL(schemas.LEDGER) if f.name not in ("commit", "kind")]
+    own = {c.lower() for c in rows.columns}
+    return rows.select(F.lit(kind).alias("kind"), *((F.col(f.name) if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The effects (``effect``) or attempt reports (``report``) of a ledger, committed writes only."""
+    system, folder = folders.opened(path)
+    system.create_dir(folder)  # there is a table before the first write, too
+    rows = spark.read.schema(schemas.LEDGER).parquet(path).filter(F.col("kind") == kind)
+    names = T.StructType.fromDDL(schemas.OUTBOX if kind == EFFECT else schemas.REPORT).names
+    return rows.select(*names, "day")
+
+
+def add_to_outbox(rows: DataFrame, path: str, reports: DataFrame | None = None, commit: str | None = None) -> None:
+    """Add the outbox rows (with ``day``) whose keys aren't there yet, and the attempt reports (K5 to K10), in one
+    transaction: all of them appear, or, if a task fails, none. A replay adds nothing, whatever its days.
+
+    The ledger is divided by kind and day, null days included, and only the days of ``rows`` are looked up, as a replay has the days
+    of the first run. A report is another one if its key, time, code or error is. A ``commit`` that is there already is left alone."""
+    committed.register(rows.sparkSession)
+    entries = [_known_apart(_entries(rows, EFFECT), path, EFFECT, ["key"])]
+    if reports is not None:
+        days = reports if "day" in reports.columns else reports.withColumn("day", F.col("at").cast("date"))
+        entries.append(_known_apart(_entries(days, REPORT), path, REPORT, ["key", "at", "code", "error"]))
+    new = reduce(DataFrame.unionByName, entries).sortWithinPartitions("kind", "day")
+    options = {"path": path, "partitionBy": "kind,day"} | ({"commit": commit} if commit else {})
+    new.write.format("committed").options(**options).mode("append").save()
+
+
+def _known_apart(entries: DataFrame, path: str, kind: str, same: list[str]) -> DataFrame:
+    """The entries, each once, that the ledger doesn't have on their days."""
+    first, last, null = entries.agg(F.min("day"), F.max("day"), F.bool_or(F.col("day").isNull())).first()
+    day = F.col("day").between(F.lit(first), F.lit(last)) | (F.col("day").isNull() & F.lit(bool(null)))
+    known = ledger(entries.sparkSession, path, kind).filter(day).select(*(F.col(c).alias(f"_{c}") for c in same))
+    equal = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
+    return entries.dropDuplicates(same).join(known, equal, "left_anti")
+
+
+def add_letters(bad: DataFrame, path: str, *place: str) -> None:
+    """Add dead letters (task_id, error, raw) that aren't there yet, in one transaction. ``place`` are the columns that tell
+    where a record stood; equal texts of one place are numbered, so each is a letter of its own and a replay adds none."""
+    committed.register(bad.sparkSession)
+    copy = F.row_number().over(Window.partitionBy("raw", *place).orderBy("task_id", "error"))
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("raw", *place, "_copy"))
+    letters = bad.withColumn("_copy", copy).select(F.sha2(F.concat_ws("\x1f", *parts), 256).alias("key"), "task_id", "error", "raw")
+    known = letters_in(bad.sparkSession, path).select("key")
+    letters.join(known, "key", "left_anti").write.format("committed").option("path", path).mode("append").save()
+
 
-    The outbox is partitioned by day, and only the days of ``rows`` are looked up, as a replay has the days of the first run."""
-    new = rows.dropDuplicates(["key"])
-    rows.limit(0).write.mode("append").partitionBy("day").parquet(path)  # there is a table from the first batch on
-    first, last = rows.agg(F.min("day"), F.max("day")).first()
-    known = rows.sparkSession.read.schema(rows.schema).parquet(path).filter(F.col("day").between(first, last)).select("key")
-    new.join(known, "key", "left_anti").write.mode("append").partitionBy("day").parquet(path)
+def letters_in(spark: SparkSession, path: str) -> DataFrame:
+    """(key, task_id, error, raw) of all dead letters."""
+    system, folder = folders.opened(path)
+    system.create_dir(folder)
+    return spark.read.schema(f"{schemas.LETTER}, commit STRING").parquet(path).drop("commit")

@@ -10,17 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyspark import schemas
 from tallyspark.config import DOCUMENT_NOTE, Settings
 from tallyspark.functions import text
 from tallyspark.operators import actions, flatten, predicates
-from tallyspark.sources import writers
+from tallyspark.sources import mailbox, writers
+
+
+def record_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Records dropped as files of JSON lines, one file a batch (T2), as messages with error and raw text (E1): nothing is
+    lost and nothing collapses before dead letters are split off."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return flatten.parse_messages(raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+
+
+def mailbox_stream(spark: SparkSession, path: str, files_per_poll: int | None = None) -> DataFrame:
+    """Records of a mailbox whose messages are marked as read once their batch is done (S7a, S7b, T2 to T4), with error and raw text."""
+    mailbox.register(spark)
+    reader = spark.readStream.format("mailbox").option("path", path)
+    return flatten.parse_messages((reader if files_per_poll is None else reader.option("filesPerPoll", files_per_poll)).load())
 
 
 def message_stream(spark: SparkSession, path: str, files_per_batch: int = 1, delay: str = "1 day") -> DataFrame:
-    """Messages dropped as JSON files, one file a batch (T2), each id once within ``delay``."""
-    raw = spark.readStream.schema(schemas.MESSAGE).option("maxFilesPerTrigger", files_per_batch).json(path)
-    timed = raw.withColumn("received", F.col("received").cast("timestamp")).withWatermark("received", delay)
+    """Messages dropped as JSON files, one file a batch (T2), each id once within ``delay`` (T3). Dead letters are split off
+    before that: ``record_stream`` has them."""
+    good, _ = flatten.split_errors(record_stream(spark, path, files_per_batch))
+    timed = good.drop("file", "block").withColumn("received", F.col("received").cast("timestamp")).withWatermark("received", delay)
     return timed.dropDuplicatesWithinWatermark(["id"])
 
 
@@ -49,15 +63,17 @@ def snippet_effects(messages: DataFrame, settings: Settings, phrase: str, title:
 
 
 def run_agent(messages: DataFrame, settings: Settings, outbox: str, errors: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the effects of each batch to the outbox (T1, T4). Messages without id become dead letters (T5);
-    other failures stop the query and are retried from the checkpoint."""
+    """Write the effects of each batch to the outbox (T1, T4). Of records (with ``error`` and ``raw``), those that aren't messages
+    become dead letters with their raw text (T5), each once; other failures stop the query and are retried from the checkpoint.
+    The keys of effects and letters make a replay harmless, with a lost checkpoint, too."""
+    place = [c for c in ("file", "position", "block") if c in messages.columns]
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.persist()
-        bad = rows.filter("id IS NULL").select(F.lit(f"batch {number}").alias("task_id"), F.lit("message without id").alias("error"))
-        if not bad.isEmpty():
-            writers.export_csv(bad, f"{errors}/batch={number}")
-        writers.add_to_outbox(command_effects(rows.filter("id IS NOT NULL"), settings), outbox)
+        if "error" in rows.columns:
+            writers.add_letters(rows.filter("error IS NOT NULL").withColumn("task_id", F.coalesce("id", F.lit(""))), errors, *place)
+            rows = rows.filter("error IS NULL").drop("error", "raw", *place)
+        writers.add_to_outbox(command_effects(rows, settings), outbox)
         rows.unpersist()
 
     writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
