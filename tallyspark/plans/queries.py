@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.config import OVERDUE, Settings
-from tallyspark.functions import text
+from tallyspark.functions import bags, text
 from tallyspark.operators import actions, delivery, flatten, metrics, predicates
-from tallyspark.sources import readers, writers
-from tallyspark.streaming import agent
+from tallyspark.sources import history, keyed, mailbox, readers, responses, writers
+from tallyspark.streaming import agent, supervised
 
 AS_OF = "1998-06-15 12:00:00"
+#: Days of the wide history.
+WIDE_DAYS = ("1995-03-01 00:00:00", AS_OF)
 WAITING = "In progress"
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 # The statuses, markers and payload fields in the views and the SQL below are those of the task tracker.
@@ -351,6 +353,131 @@ def response_tasks(spark, sf_dir):
     return flatten.tasks(readers.task_pages(spark, path, missing="raise", multi_line=False)).select("id", "status", "title", "due")
 
 
+def _responses(spark, sf_dir, broken=True):
+    """A folder of responses with up to 100 orders each, as a service pages them; some aren't JSON, some have no results."""
+    o = _read(spark, sf_dir, "orders").withColumn("response", F.expr("o_orderkey DIV 400"))
+    status = F.struct(F.struct(F.struct(F.col("o_orderstatus").alias("name")).alias("status")).alias("Status"), F.struct(F.lit("formula").alias("type"), F.struct(F.col("o_totalprice").alias("number")).alias("formula")).alias("Price"))
+    page = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_edited_time"), status.alias("properties"))
+    pages = F.array_sort(F.collect_list(F.struct("o_orderkey", page.alias("page"))))  # 100 at most
+    whole = o.groupBy("response").agg(F.transform(pages, lambda p: p["page"]).alias("results")).withColumn("text", F.to_json(F.struct("results")))
+    kind = F.col("response") % 10
+    path = writers.scratch(spark, "responses")
+    text_ = F.when(kind == 3, F.lit("{broken")).when(kind == 7, F.lit('{"object": "error"}')).otherwise(F.col("text")) if broken else F.col("text")
+    whole.select(text_.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def captured_pages(spark, sf_dir):
+    """Pages that were edited lately, the first 20 of each response: filters and limit are the source's."""
+    responses.register(spark)
+    read = spark.read.format("responses").option("path", _responses(spark, sf_dir)).option("onError", "empty").option("limit", 20).load()
+    return read.filter("edited >= '1995-06-01'").select("id", "edited", F.get_json_object("page", "$.properties.Status.status.name").alias("status"))
+
+
+def first_pages(spark, sf_dir):
+    """The first 50 pages by id: the limit is the feature."""
+    return readers.task_pages(spark, _responses(spark, sf_dir), on_error="empty", limit=50, multi_line=False).select("id")
+
+
+def property_bags(spark, sf_dir):
+    """Properties of whatever kind: a status, and one that no schema has."""
+    responses.register(spark)
+    pages = spark.read.format("responses").option("path", _responses(spark, sf_dir, False)).load()
+    return bags.properties(pages, "page", "id")
+
+
+def property_kinds(spark, sf_dir):
+    responses.register(spark)
+    return bags.listed_kinds(spark.read.format("responses").option("path", _responses(spark, sf_dir, False)).load())
+
+
+def bucketed_update(spark, sf_dir):
+    """``keyed_update`` in place, on a table in folders by key."""
+    rows, schema = tasks(spark, sf_dir).select("id", "status", "nudges"), "id long, status string, nudges long"
+    late = predicates.overdue(F.col("status"), F.col("due"), as_of(), OVERDUE["guardian"])
+    path = writers.scratch(spark, "tasks")
+    keyed.create(rows, path, "id", 8)
+    keyed.update(spark, path, schema, actions.escalations(tasks(spark, sf_dir), late).select("id", "nudges"), "id", 8)
+    return keyed.read(spark, path, schema).drop(keyed.BUCKET)
+
+
+def _history(spark, sf_dir):
+    """The history of events and its sums by day; half of the last day's events come later."""
+    rows = _read(spark, sf_dir, "events").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
+    path, sums, schema = writers.scratch(spark, "history"), writers.scratch(spark, "sums"), "event_id long, event_type string, value double, day date"
+    last = rows.select(F.max("day")).scalar()
+    later = (F.col("day") == last) & (F.col("event_id") % 2 == 0)
+    for part in (rows.filter(~later), rows.filter(later)):
+        history.append(part, path, sums, "day", "event_type", schema)
+    return path, sums, schema
+
+
+def history_alerts(spark, sf_dir):
+    path, _, schema = _history(spark, sf_dir)
+    alert = predicates.snapshot_alert("event_type", "event_type", ("error",), ()) | (F.col("value") > 100)
+    return history.of_latest_day(spark, path, schema, "day", alert).select("event_id", "day", "event_type", "value")
+
+
+def history_weekly(spark, sf_dir):
+    return history.weekly(spark, _history(spark, sf_dir)[1], "day", "event_type", EVENT_TYPES)
+
+
+def wide_history(spark, sf_dir):
+    """Metric vectors of two days, appended to a wide table."""
+    path = writers.scratch(spark, "wide")
+    for at in WIDE_DAYS:
+        writers.append_history(metrics.metrics_vector(tasks(spark, sf_dir), F.lit(at).cast("timestamp_ntz")), path)
+    rows = spark.read.parquet(path)
+    return rows.withColumn("Date", F.col("Date").cast("date"))
+
+
+def task_log_mail(spark, sf_dir):
+    """Mails with the exported task log, and with a file that isn't there."""
+    path = writers.scratch(spark, "log") + ".csv"
+    writers.export_csv_file(flatten.task_log(tasks(spark, sf_dir)).withColumn("_id", F.substring("Title", 6, 20).cast("long")), path, "_id")
+    mails = spark.createDataFrame([(1, path), (2, path + ".gone")], "mail int, path string")
+    found = actions.with_attachments(mails, readers.attachments(spark, path))
+    payload = actions.mail_payload(F.lit("t@example.com"), F.lit("Daily Task Log"), F.lit("attached"), filename=F.when(F.col("filename").isNotNull(), "log.csv"), data=F.col("data"))
+    rows = found.select("mail", payload.alias("p"))
+    return rows.select("mail", F.get_json_object("p", "$.filename").alias("filename"), F.sha2(F.unbase64(F.get_json_object("p", "$.data")), 256).alias("log"))
+
+
+def error_log(spark, sf_dir):
+    """Dead letters as a CSV, and whether one was written; there is none where there are no errors."""
+    errors, path = flatten.split_errors(_props(spark, sf_dir))[1], writers.scratch(spark, "errors")
+    written, none = writers.write_errors(errors, path), writers.write_errors(errors.limit(0), path + "-none")
+    return readers.csv_table(spark, path, schemas.ERRORS).select("task_id", "error", F.lit(written).alias("written"), F.lit(none).alias("none_written"))
+
+
+def split_counts(spark, sf_dir):
+    """Good and bad records in one table, and their counts, out of one job."""
+    path = writers.scratch(spark, "split")
+    counts = writers.write_split(_props(spark, sf_dir).select("id", "error"), path)
+    rows = spark.read.schema("id string, error string, kind string").parquet(path)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.lit(counts["good"]).alias("good"), F.lit(counts["bad"]).alias("bad"))
+
+
+def supervised_poll(spark, sf_dir):
+    """Unread turns through a poll that fails twice: each once, with the poll's state and attempts."""
+    mailbox.register(spark)
+    inbox, out, ledger, checkpoint = (writers.scratch(spark, n) for n in ("mailbox", "turns", "ledger", "poll"))
+    _messages(spark, sf_dir).filter("unread").select(F.col("id").alias("value")).write.text(inbox)
+    failures = [1, 2]
+
+    def batch(rows, number):
+        if failures:
+            raise RuntimeError(f"no connection {failures.pop()}")
+        rows.select("value").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def start():
+        stream = spark.readStream.format("mailbox").option("path", inbox).load()
+        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    supervised.supervise(spark, "turns", start, ledger)
+    status = delivery.delivery_status(writers.ledger(spark, ledger, writers.EFFECT), writers.ledger(spark, ledger, writers.REPORT).drop("day")).first()
+    return spark.read.schema("value string, batch int").parquet(out).select(F.col("value").alias("id"), F.lit(status["state"]).alias("state"), F.lit(status["attempts"]).alias("attempts"))
+
+
 def csv_roundtrip(spark, sf_dir):
     """A snapshot exported as CSV and read back, with blanks, quotes and line breaks in its names."""
     rows, path = tasks(spark, sf_dir), writers.scratch(spark, "csv")
@@ -421,6 +548,7 @@ def nudge_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    captured_pages, first_pages, property_bags, property_kinds, bucketed_update, history_alerts, history_weekly, wide_history, task_log_mail, error_log, split_counts, supervised_poll,
     response_tasks, csv_roundtrip, agent_effects, mailbox_effects, mailbox_letters, outbox_ledger, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
@@ -533,3 +661,24 @@ ORACLE_SQL = {
     "chat_updates": _tasks_sql("SELECT sha256('chat' || chr(31) || id) AS key, 'chat' AS channel, 'tasks' AS target, 'Task update' || chr(10) || '* task: ' || title || chr(10) || '* status: ' || coalesce(priority, '') || chr(10) || '* due: ' || due AS payload FROM tasks"),
     "listing": _tasks_sql("SELECT concat_ws(' | ', title, status, priority, due) AS line FROM tasks"),
 }
+
+_LATELY = "SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS edited, o_orderstatus AS status, row_number() OVER (PARTITION BY o_orderkey // 400 ORDER BY o_orderkey) AS n FROM orders WHERE (o_orderkey // 400) % 10 NOT IN (3, 7)"
+_LOG = "title || ',' || coalesce(assignee, '') || ',' || coalesce(priority, '') || ',' || due || ',' || CASE WHEN assignee IS NULL OR priority IS NULL THEN 'Yes' ELSE 'No' END || chr(10)"
+
+ORACLE_SQL |= {
+    "captured_pages": f"SELECT id, edited, status FROM ({_LATELY}) WHERE n <= 20 AND edited >= '1995-06-01'",
+    "first_pages": f"SELECT id FROM ({_LATELY}) ORDER BY id LIMIT 50",
+    "property_bags": """SELECT o_orderkey::VARCHAR AS id, 'Status' AS property, 'status' AS kind, o_orderstatus AS value FROM orders
+        UNION ALL SELECT o_orderkey::VARCHAR, 'Price', 'formula', '{"number":' || regexp_replace(o_totalprice::VARCHAR, '\\.0$', '') || '}' FROM orders""",
+    "property_kinds": "SELECT 'Status' AS property, 'status' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'Price', 'formula', count(*) FROM orders",
+    "bucketed_update": ORACLE_SQL["keyed_update"],
+    "history_alerts": ORACLE_SQL["latest_snapshot_alert_rows"],
+    "history_weekly": ORACLE_SQL["weekly_status_pivot"],
+    "wide_history": " UNION ALL ".join(f"({ORACLE_SQL['metrics_vector'].replace(AS_OF, at)})" for at in WIDE_DAYS),
+    "task_log_mail": _tasks_sql(f"""SELECT 1 AS mail, 'log.csv' AS filename, sha256('Title,Assignee,Priority,Due,Needs Review' || chr(10) || string_agg({_LOG}, '' ORDER BY id)) AS log FROM tasks
+        UNION ALL SELECT 2, NULL, NULL"""),
+    "error_log": f"SELECT *, TRUE AS written, FALSE AS none_written FROM ({ORACLE_SQL['props_dead_letter']})",
+    "split_counts": """WITH c AS (SELECT count(*) FILTER (event_id % 50 > 1) AS good, count(*) FILTER (event_id % 50 < 2) AS bad FROM events)
+        SELECT 'good' AS kind, good AS n, good, bad FROM c UNION ALL SELECT 'bad', bad, good, bad FROM c""",
+    "supervised_poll": "SELECT conv_id || '-' || turn AS id, 'sent' AS state, 3 AS attempts FROM conversations WHERE role = 'user'",
+}

@@ -45,9 +45,9 @@ def _folder(names: list[str], values: tuple) -> str:
 
 
 class _Writer:
-    def __init__(self, options: dict):
+    def __init__(self, options):
         self.path, self.name = options["path"], options.get("commit") or uuid.uuid4().hex
-        self.keys = [k for k in options.get("partitionby", options.get("partitionBy", "")).split(",") if k]
+        self.keys = [k for k in options.get("partitionBy", "").split(",") if k]
         self.run = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -128,10 +128,10 @@ class Committed(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("committed writes only append")
-        return _BatchWriter(dict(self.options))
+        return _BatchWriter(self.options)
 
     def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
-        return _StreamWriter(dict(self.options))
+        return _StreamWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import metrics, predicates
+from tallyspark.sources import hadoop
 
 
 def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None, missing: str = "empty", multi_line: bool = True) -> DataFrame:
@@ -45,7 +46,7 @@ def latest_message(messages: DataFrame, sender: str | None = None, recipient: st
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of whole files; none if there is no such file."""
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-    folder, _, name = path.rpartition("/")
-    return reader.option("pathGlobFilter", name).load(folder).select("path", "length", "content")
+    """(path, length, content) of whole files, for a path or a pattern; none if there is no such file (S9). No other file is listed."""
+    if not hadoop.matches(spark, path):
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(path).select("path", "length", "content")

@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import schemas
-from tallyspark.sources import committed, folders
+from tallyspark.sources import committed, folders, hadoop
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,12 +37,33 @@ def export_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).options(**options).csv(path)
 
 
+def export_csv_file(rows: DataFrame, path: str, *order: str) -> None:
+    """One CSV file with one header, in the given order (K3), such as an attachment: a range sort writes ordered parts, whose
+    bytes are then joined as streams. No task and no memory holds them all."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered = rows.orderBy(*order).drop(*(c for c in order if c.startswith("_"))) if order else rows
+    ordered.write.options(**options).csv(parts)
+    hadoop.join_files(rows.sparkSession, parts, path, hadoop.header(ordered.columns))
+    hadoop.remove(rows.sparkSession, parts)
+
+
 def write_errors(errors: DataFrame, path: str) -> bool:
-    """Dead letters (task_id, error); without any, nothing is written."""
-    if errors.isEmpty():
-        return False
-    export_csv(errors, path)
-    return True
+    """Dead letters (task_id, error); without any, nothing is written (K4, F15). They are counted as they are written."""
+    seen = Observation()
+    export_csv(errors.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    if seen.get.get("n"):
+        return True
+    hadoop.remove(errors.sparkSession, path)
+    return False
+
+
+def write_split(rows: DataFrame, path: str) -> dict[str, int]:
+    """Write rows with ``error`` as a table with the folders ``kind=good`` and ``kind=bad``, in one job that counts both."""
+    seen, bad = Observation(), F.col("error").isNotNull()
+    counted = rows.withColumn("kind", F.when(bad, "bad").otherwise("good")).observe(seen, F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"))
+    counted.write.partitionBy("kind").parquet(path)
+    return {"good": seen.get.get("good", 0), "bad": seen.get.get("bad", 0)}
 
 
 def write_digest(lines: DataFrame, path: str, order: str = "id") -> None:
