@@ -5,7 +5,8 @@ A template belongs to the smallest window size of which it fills three quarters
 a size start every quarter of it, so each occurrence lies in one of them as a whole. With at least
 ``CONTAINED`` of the template's shingles inside, the Jaccard similarity of window and template is at
 least ``least_similarity``; ``BANDS`` bands of one row then collide with a probability of
-``collision_probability`` (over 0.9999). Exact containment decides, and
+``collision_probability`` (over 0.9999). Shingles that no template has are left out of the windows first, and so are windows
+with fewer of the rest than any template of their size needs: that only makes collisions likelier. Exact containment decides, and
 of a versioned license every pair of words that ends with a family's name or a version (``telling``)
 must be there, too: the members of a family differ in these only. A text too long for a window is several
 templates of one number. The templates are a small table of fixed size, and the job is map-only.
@@ -150,6 +151,10 @@ class Templates:
         self.by_size = {s: [k for k, n in enumerate(self.words) if size_of(n) == s] for s in SIZES}
         self.seeds = mix(np.arange(1, BANDS + 1, dtype=U64))
         self.least = [np.array([mix(x ^ seed).min() for x in self.sets]) for seed in self.seeds]
+        self.every = np.unique(np.concatenate(self.sets))
+        self.maybe = np.zeros(1 << 20, bool)  # by the lowest bits, whether a shingle can be any template's
+        self.maybe[self.every & U64(0xFFFFF)] = True
+        self.fewest = {s: min((math.ceil(CONTAINED * len(self.sets[k]) - 1e-9) for k in some), default=0) for s, some in self.by_size.items()}
 
     @staticmethod
     def _cut(text: str, most: int) -> list[str]:
@@ -162,21 +167,28 @@ class Templates:
     def scan(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text, template, first word, words, containment) of all occurrences."""
         h, own, bounds, pairs = _shingles(column)
-        most = np.iinfo(np.uint64).max
         near: set[tuple[int, int, int]] = set()
-        for seed, least in zip(self.seeds, self.least, strict=True):
-            step = SIZES[0] // 4
-            v = mix(h ^ seed)
-            v[~own] = most
-            v = np.r_[v, np.full(-len(v) % step, most, U64)].reshape(-1, step).min(1)
-            for size in SIZES:
-                if some := self.by_size[size]:
-                    pad = np.r_[v, np.full(3, most, U64)]
-                    low = np.minimum(np.minimum(pad[:-3], pad[1:-2]), np.minimum(pad[2:-1], pad[3:]))
-                    goals = least[some]
-                    for at in np.flatnonzero(np.isin(low, goals)).tolist():
-                        near.update((at, size, some[k]) for k in np.flatnonzero(goals == low[at]).tolist())
-                v = np.r_[v, np.full(len(v) % 2, most, U64)].reshape(-1, 2).min(1)
+        # shingles that no template has can't be the least of a template, so windows are sketched by the others
+        places = np.flatnonzero(self.maybe[h & U64(0xFFFFF)] & own)
+        places = places[np.isin(h[places], self.every)]
+        for size, some in self.by_size.items():
+            if not some or not len(places):
+                continue
+            quarter = places // (size // 4)
+            window = (quarter[:, None] - np.arange(4)).ravel()  # a shingle lies in four windows
+            order = np.argsort(window, kind="stable")
+            order = order[window[order] >= 0]
+            first = np.flatnonzero(np.r_[True, np.diff(window[order]) != 0])
+            enough = np.repeat(counts := np.diff(np.r_[first, len(order)]), counts) >= self.fewest[size]
+            order = order[enough]
+            if not len(order):
+                continue
+            first = np.flatnonzero(np.r_[True, np.diff(window[order]) != 0])
+            starts, values = window[order][first], h[places[order // 4]]
+            for seed, least in zip(self.seeds, self.least, strict=True):
+                low, goals = np.minimum.reduceat(mix(values ^ seed), first), least[some]
+                for w in np.flatnonzero(np.isin(low, goals)).tolist():
+                    near.update((int(starts[w]), size, some[k]) for k in np.flatnonzero(goals == low[w]).tolist())
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for at, size, k in near:
             a, b = at * size // 4, min(at * size // 4 + size, len(h))
