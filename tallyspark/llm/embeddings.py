@@ -37,23 +37,22 @@ SIGNS = 24
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, digest, vec, signs) of the vectors that can link: finite, no null inside, not zero."""
+    """(id, digest, vec, signs) of the vectors that can link: finite, no null inside, not zero. Those of one length are taken together."""
+    names = ["id", "digest", "vec", "signs"]
     for batch in batches:
-        ids, vecs, digests, signs = [], [], [], []
-        for key, vec in zip(batch["id"].to_pylist(), batch["vec"].to_pylist(), strict=True):
-            if not vec or any(x is None for x in vec):
-                continue
-            v = np.asarray(vec, np.float64) + 0.0  # no negative zero
-            top = np.abs(v).max()
-            if not np.isfinite(v).all() or top == 0:
-                continue
-            rng = np.random.Generator(np.random.PCG64(len(v)))
-            bits = rng.standard_normal((SIGNS, len(v))) @ (v / top) > 0
-            ids.append(key)
-            vecs.append(v)
-            digests.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            signs.append(int((bits << np.arange(SIGNS)).sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(vecs, pa.list_(pa.float64())), pa.array(signs, pa.int32())], ["id", "digest", "vec", "signs"])
+        ids, column = batch["id"].to_numpy(), batch["vec"].cast(pa.list_(pa.float64()))
+        sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+        values = column.values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == dim)
+            v = values[column.offsets.to_numpy()[rows][:, None] + np.arange(dim)] + 0.0  # no negative zero
+            top = np.abs(v).max(1)
+            fine = np.isfinite(top) & (top > 0)
+            rows, v, top = rows[fine], v[fine], top[fine]
+            bits = (v / top[:, None]) @ np.random.Generator(np.random.PCG64(dim)).standard_normal((SIGNS, dim)).T > 0
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in v]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(digests, pa.binary()), flat, pa.array((bits << np.arange(SIGNS)).sum(1).astype(np.int32))], names)
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
