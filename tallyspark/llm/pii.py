@@ -133,6 +133,9 @@ def _card(f: Feistel, text: str) -> str | None:
 
 
 def _iban(f: Feistel, text: str) -> str | None:
+    if text == text.lower():  # the same number in lower case has the same pseudonym in lower case
+        new = _iban(f, text.upper()) if text.isascii() else None
+        return new and new.lower()
     plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or plain != plain.upper() or _mod97(plain[4:] + plain[:4]) != 1:
         return None
@@ -145,7 +148,7 @@ def _ends(text: str) -> list[str]:
     """``text`` and its beginnings that end before a blank, the longest first: the words behind an IBAN match, too.
     Where all of it is as long as its country's IBANs, digits at its end are no such words."""
     ends = [text, *(text[:k] for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
-    whole = len(text.replace(" ", "")) == IBAN_LENGTHS.get(text[:2])
+    whole = len(text.replace(" ", "")) == IBAN_LENGTHS.get(text[:2].upper())
     return [e for e in ends if e == text or not whole or not text[len(e) :].replace(" ", "").isdigit()]
 
 
