@@ -12,6 +12,10 @@ from tallyspark.llm import bpe, mixing, near_dups, pii, quality
 from tallyspark.llm.common import store, table
 
 
+#: The setting of the session that holds the key of the pseudonyms.
+KEY_SETTING = "spark.tallyspark.pseudonymKey"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the current policy go: null, empty and short texts among them. Repeated rows are judged each."""
     return quality.keep_good(docs)
@@ -24,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms; ``n_chars`` follows the text (null for a null text). All rows stay."""
-    return pii.mask(docs, "public-test-key").selectExpr(*("CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+    """Personal data becomes pseudonyms; ``n_chars`` follows the text (null for a null text). All rows stay. The key is the
+    session's ``KEY_SETTING``; without one, a public key stands in, whose pseudonyms anyone can undo: for tests only."""
+    return pii.mask(docs, spark.conf.get(KEY_SETTING, "public-test-key")).selectExpr(*("CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
