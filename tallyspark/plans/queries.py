@@ -255,6 +255,24 @@ def html_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))
 
 
+#: Bodies with ``N`` for an order's number, and the texts that are seen of them.
+BODIES = (
+    ("<div><p>Order N <b>bold", "Order N bold"),
+    ("<!-- note --><ul><li>Order N</li><li>&lt;x&gt;</ul>", "Order N<x>"),
+    ('<script>if (a < b) { "<p>" }</script>Order N<style>p{}</style> end', "Order N end"),
+    ("a < b &amp; c Order N", "a < b & c Order N"),
+    ("<table><tr><td>Order<td>N</table><br/>&#233;", "OrderN\u00e9"),
+    ("<p title='>'>Order N</p><SCRIPT>x</SCRIPT>!", "Order N!"),
+)
+
+
+def html_bodies(spark, sf_dir):
+    """Broken and nested HTML, of orders."""
+    key = F.col("o_orderkey")
+    body = F.replace(F.element_at(F.array(*(F.lit(b) for b, _ in BODIES)), (key % len(BODIES) + 1).cast("int")), F.lit("N"), key.cast("string"))
+    return _read(spark, sf_dir, "orders").select(key.alias("id"), text.html_text(body).alias("text"))
+
+
 def schema_inspect(spark, sf_dir):
     """A description of the task database, as its service gives it, with the priorities of orders as options."""
     names = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
@@ -548,7 +566,7 @@ def nudge_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    captured_pages, first_pages, property_bags, property_kinds, bucketed_update, history_alerts, history_weekly, wide_history, task_log_mail, error_log, split_counts, supervised_poll,
+    html_bodies, captured_pages, first_pages, property_bags, property_kinds, bucketed_update, history_alerts, history_weekly, wide_history, task_log_mail, error_log, split_counts, supervised_poll,
     response_tasks, csv_roundtrip, agent_effects, mailbox_effects, mailbox_letters, outbox_ledger, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
@@ -666,6 +684,7 @@ _LATELY = "SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') A
 _LOG = "title || ',' || coalesce(assignee, '') || ',' || coalesce(priority, '') || ',' || due || ',' || CASE WHEN assignee IS NULL OR priority IS NULL THEN 'Yes' ELSE 'No' END || chr(10)"
 
 ORACLE_SQL |= {
+    "html_bodies": "SELECT o_orderkey AS id, replace([" + ", ".join(f"'{t}'" for _, t in BODIES) + f"][o_orderkey % {len(BODIES)} + 1], 'N', o_orderkey::VARCHAR) AS text FROM orders",
     "captured_pages": f"SELECT id, edited, status FROM ({_LATELY}) WHERE n <= 20 AND edited >= '1995-06-01'",
     "first_pages": f"SELECT id FROM ({_LATELY}) ORDER BY id LIMIT 50",
     "property_bags": """SELECT o_orderkey::VARCHAR AS id, 'Status' AS property, 'status' AS kind, o_orderstatus AS value FROM orders
