@@ -1,10 +1,14 @@
 """What became of intended effects: delivery reports of connectors joined to the outbox.
 
-A connector appends one report for each attempt: (key, at, code, error). Nothing is sent from here.
+A connector makes one report for each attempt: (key, at, code, error). ``attempts`` runs a connector over effects; what it
+does with them is its own business, and nothing else here sends anything.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,27 @@ def delivery_status(outbox: DataFrame, reports: DataFrame) -> DataFrame:
     return outbox.join(told, "key", "left").select(*outbox.columns, state.alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.col("last.why").alias("error"))
 
 
+def attempts(due: DataFrame, connector: Callable[[dict], tuple[int | None, str | None]], at: Column) -> DataFrame:
+    """Reports of one attempt for each effect: ``connector`` takes an effect (a row of ``due`` as a dict) and gives the response's
+    code and error. What it raises is that effect's error and no other's (E4, 3.2); the job goes on.
+
+    A task that is run again attempts its effects again, so a connector should hand on ``key`` as what makes a request the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for row in batch.to_pylist():
+                try:
+                    code, error = connector(row)
+                except Exception as failure:
+                    code, error = None, f"{type(failure).__name__}: {failure}"
+                told.append((row["key"], code, error))
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))], ["key", "code", "error"])
+
+    made = due.mapInArrow(run, "key string, code int, error string")
+    return made.select("key", at.cast("timestamp_ntz").alias("at"), "code", "error")
+
+
 def dead_letters(status: DataFrame, *channels: str) -> DataFrame:
     """(task_id, error) of failed effects, of some channels only if given, with what should have been sent."""
     failed = status.filter(F.col("state") == FAILED)

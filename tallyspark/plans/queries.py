@@ -362,6 +362,27 @@ def delivery_due_again(spark, sf_dir):
     return delivery.due_again(_delivery(spark, sf_dir)).select("key", "state")
 
 
+def _connector(effect):
+    """A stand-in for a service: some requests fail at first, some are refused, some break off each time."""
+    n = int(effect["payload"])
+    if n % 7 == 0:
+        raise ConnectionError("broken off")
+    if n % 5 == 0:
+        return 429, "ratelimited"
+    return (500, None) if n % 3 == 0 and effect["attempts"] == 0 else (200, None)
+
+
+def delivery_rounds(spark, sf_dir):
+    """The state of all effects after four rounds of delivery, three attempts each at most."""
+    day = F.when(F.col("id") % 4 != 0, F.to_date("due"))
+    path = writers.scratch(spark, "ledger")
+    writers.add_to_outbox(actions.outbox(tasks(spark, sf_dir), "chat", F.lit("tasks"), F.col("id").cast("string"), F.col("id"), day=day), path)
+    for k in range(4):
+        agent.deliver(spark, path, _connector, F.lit(f"1998-06-15 12:0{k}:00"))
+    status = delivery.delivery_status(writers.ledger(spark, path, writers.EFFECT), writers.ledger(spark, path, writers.REPORT).drop("day"))
+    return status.select("key", "state", "attempts", "error")
+
+
 def response_tasks(spark, sf_dir):
     """Tasks out of captured responses, one for each customer's orders."""
     o = _read(spark, sf_dir, "orders")
@@ -566,7 +587,7 @@ def nudge_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_bodies, captured_pages, first_pages, property_bags, property_kinds, bucketed_update, history_alerts, history_weekly, wide_history, task_log_mail, error_log, split_counts, supervised_poll,
+    html_bodies, delivery_rounds, captured_pages, first_pages, property_bags, property_kinds, bucketed_update, history_alerts, history_weekly, wide_history, task_log_mail, error_log, split_counts, supervised_poll,
     response_tasks, csv_roundtrip, agent_effects, mailbox_effects, mailbox_letters, outbox_ledger, nudge_stream, task_fields, task_snapshot, page_payloads, document_and_mail_payloads, mail_tasks, mailbox_unread, delivery_status, delivery_dead_letters, delivery_due_again,
     weekly_status_pivot, weekly_task_status, status_counts, metrics_vector, latest_snapshot_alert_rows, latest_snapshot_alert_flag,
     due_today, waiting, nudge_updates, review_routing, task_log, daily_digest, command_title, command_content, due_from_text,
@@ -685,6 +706,10 @@ _LOG = "title || ',' || coalesce(assignee, '') || ',' || coalesce(priority, '')
 
 ORACLE_SQL |= {
     "html_bodies": "SELECT o_orderkey AS id, replace([" + ", ".join(f"'{t}'" for _, t in BODIES) + f"][o_orderkey % {len(BODIES)} + 1], 'N', o_orderkey::VARCHAR) AS text FROM orders",
+    "delivery_rounds": _tasks_sql("""
+        SELECT sha256('chat' || chr(31) || id) AS key, CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN 'failed' ELSE 'sent' END AS state,
+            CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN 3 WHEN id % 3 = 0 THEN 2 ELSE 1 END AS attempts,
+            CASE WHEN id % 7 = 0 THEN 'ConnectionError: broken off' WHEN id % 5 = 0 THEN 'ratelimited' WHEN id % 3 = 0 THEN 'code 500' END AS error FROM tasks"""),
     "captured_pages": f"SELECT id, edited, status FROM ({_LATELY}) WHERE n <= 20 AND edited >= '1995-06-01'",
     "first_pages": f"SELECT id FROM ({_LATELY}) ORDER BY id LIMIT 50",
     "property_bags": """SELECT o_orderkey::VARCHAR AS id, 'Status' AS property, 'status' AS kind, o_orderstatus AS value FROM orders

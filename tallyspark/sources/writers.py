@@ -72,6 +72,8 @@ def write_digest(lines: DataFrame, path: str, order: str = "id") -> None:
 
 
 EFFECT, REPORT = "effect", "report"
+#: Files of a day that a write makes at most.
+FILES_A_DAY = 8
 
 
 def _entries(rows: DataFrame, kind: str) -> DataFrame:
@@ -101,7 +103,8 @@ def add_to_outbox(rows: DataFrame, path: str, reports: DataFrame | None = None,
     if reports is not None:
         days = reports if "day" in reports.columns else reports.withColumn("day", F.col("at").cast("date"))
         entries.append(_known_apart(_entries(days, REPORT), path, REPORT, ["key", "at", "code", "error"]))
-    new = reduce(DataFrame.unionByName, entries).sortWithinPartitions("kind", "day")
+    spread = F.pmod(F.xxhash64("key"), F.lit(FILES_A_DAY))  # few files for each day, and no day in one task
+    new = reduce(DataFrame.unionByName, entries).repartition("kind", "day", spread).sortWithinPartitions("kind", "day")
     options = {"path": path, "partitionBy": "kind,day"} | ({"commit": commit} if commit else {})
     new.write.format("committed").options(**options).mode("append").save()
 

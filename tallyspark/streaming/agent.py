@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tallyspark import schemas
 from tallyspark.config import DOCUMENT_NOTE, Settings
 from tallyspark.functions import text
-from tallyspark.operators import actions, flatten, predicates
+from tallyspark.operators import actions, delivery, flatten, predicates
 from tallyspark.sources import mailbox, writers
 
 
@@ -80,6 +81,21 @@ def run_agent(messages: DataFrame, settings: Settings, outbox: str, errors: str,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 minutes")).start()
 
 
+def deliver(spark: SparkSession, ledger: str, connector, at, most: int = 3, *channels: str) -> None:
+    """One round of delivery: attempt the effects of a ledger that are pending, or have failed fewer than ``most`` times, and add
+    the reports in one transaction (K5 to K10, E4). ``connector`` gets each effect with its ``attempts`` so far; ``at`` is the
+    round's time, and a round that is repeated at the same time adds the reports it has not added yet."""
+    effects, reports = (writers.ledger(spark, ledger, kind) for kind in (writers.EFFECT, writers.REPORT))
+    due = delivery.due_again(delivery.delivery_status(effects, reports.drop("day")), most)
+    if channels:
+        due = due.filter(F.col("channel").isin(*channels))
+    # stored, so that each effect is attempted once, however often the writer looks at the reports
+    path = writers.scratch(spark, "attempts")
+    delivery.attempts(due, connector, at).write.parquet(path)
+    told = spark.read.schema(schemas.REPORT).parquet(path)
+    writers.add_to_outbox(effects.limit(0), ledger, told)
+
+
 def nudge_counts(late: DataFrame) -> DataFrame:
     """A stream of late tasks (id) as running nudge counts (id, nudges), kept as state by id (T6); for output mode update."""
     return late.groupBy("id").agg(F.count(F.lit(1)).alias("nudges"))

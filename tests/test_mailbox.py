@@ -194,3 +194,28 @@ def test_committed_stream(spark, tmp_path):
             query.trigger(availableNow=True).start().awaitTermination(100)
     rows = spark.read.schema("a long, commit string").parquet(str(tmp_path / "t")).collect()
     assert sorted((r.a, r.commit[-1]) for r in rows) == [(0, "0"), (1, "0"), (2, "0"), (10, "1"), (11, "1"), (12, "1")]
+
+
+def test_rounds_of_delivery(spark, tmp_path):
+    """One record's failure is its own; a lost commit repeats the attempts and adds each report once."""
+    from tallyspark.operators import delivery
+
+    path = str(tmp_path / "box")
+    box = spark.createDataFrame([(f"k{k}", "chat" if k else "mail", "t", str(k), None) for k in range(6)], f"{schemas.OUTBOX}, day date")
+    writers.add_to_outbox(box, path)
+
+    def connector(effect):
+        if effect["payload"] == "1":
+            raise ValueError("no such page")
+        return (200, None) if effect["payload"] != "2" or effect["attempts"] else (503, "later")
+
+    state = lambda: {r.key: (r.state, r.attempts, r.error) for r in delivery.delivery_status(writers.ledger(spark, path, writers.EFFECT), writers.ledger(spark, path, writers.REPORT).drop("day")).collect()}
+    agent.deliver(spark, path, connector, F.lit("2024-01-01 00:00:00"), 3, "chat")
+    assert state() == {"k0": ("pending", 0, None), "k1": ("failed", 1, "ValueError: no such page"), "k2": ("failed", 1, "later"), **{f"k{k}": ("sent", 1, None) for k in (3, 4, 5)}}
+    for _ in range(2):  # the same round again: the reports it has are there already
+        reports = delivery.attempts(box.withColumn("attempts", F.lit(0)).filter("key = 'k1'"), connector, F.lit("2024-01-01 00:00:00"))
+        writers.add_to_outbox(box.limit(0), path, reports)
+    assert state()["k1"] == ("failed", 1, "ValueError: no such page")
+    for k in range(1, 5):
+        agent.deliver(spark, path, connector, F.lit(f"2024-01-01 00:0{k}:00"))
+    assert state() == {"k0": ("sent", 1, None), "k1": ("failed", 3, "ValueError: no such page"), "k2": ("sent", 2, "later"), **{f"k{k}": ("sent", 1, None) for k in (3, 4, 5)}}
