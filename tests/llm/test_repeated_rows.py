@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from tallyspark.llm import mixing, packing, substrings, suffixes
+from tallyspark.llm import licenses, mixing, packing, substrings, suffixes
 
 DOCS = "doc_id long, text string"
 
@@ -98,6 +98,12 @@ def test_time_follows_the_repetitions(spark, cut):
     assert many < 10 * few + 10, (few, many)
 
 
+def test_licenses_of_repeated_rows(spark):
+    rows = [(None, "Released under the MIT License.")] * 3 + [(1, "x Licensed under the Apache License, Version 2.0. y")] * 50 + [(1, None), (None, None), (1, "none")]
+    found = licenses.scan(spark.createDataFrame(rows, DOCS).repartition(3)).groupBy("doc_id", "license", "first_word").count().collect()
+    assert sorted((r["doc_id"] or 0, r["license"], r["first_word"], r["count"]) for r in found) == [(0, "MIT", 0, 3), (1, "Apache-2.0", 1, 50)]
+
+
 def test_packing_spreads_rows(spark):
     import public_tokenizers
 
