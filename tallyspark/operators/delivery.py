@@ -59,6 +59,7 @@ def attempts(due: DataFrame, connector: Callable[[dict], tuple[int | None, str |
 
 def dead_letters(status: DataFrame, *channels: str) -> DataFrame:
     """(task_id, error) of failed effects, of some channels only if given, with what should have been sent."""
+    # The words "error" and "Message" in a dead letter's text.
     failed = status.filter(F.col("state") == FAILED)
     if channels:
         failed = failed.filter(F.col("channel").isin(*channels))

@@ -40,6 +40,7 @@ def digest_lines(rows: DataFrame, as_of: Column, waiting_label: str, order: str
     """The digest as lines (section, ``order``, line): the overdue, the due and the waiting tasks (title, status, due), each with
     its section (1 to 3) and its order (A6). Section 0 is the head; a section's own heading, with null order, comes before its
     lines, and None behind it where it has no task. No section is gathered anywhere: sort by section and order to read it."""
+    # The headings and line forms below are those of the daily digest.
     name = F.coalesce("title", F.lit("Untitled"))
     day = F.substring_index(F.col("due").cast("string"), "T", 1)
     late = predicates.overdue(F.col("status"), F.col("due"), as_of, policy)
