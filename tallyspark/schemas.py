@@ -16,5 +16,5 @@ MESSAGE = "id STRING, sender STRING, recipient STRING, unread BOOLEAN, received
 HTML_MAIL = "subject STRING, body STRING"
 OUTBOX = "key STRING, channel STRING, target STRING, payload STRING"
 REPORT = "key STRING, at TIMESTAMP_NTZ, code INT, error STRING"
-#: What one table holds of effects and attempts; ``kind``, ``day`` and ``commit`` are folders.
-LEDGER = f"{OUTBOX}, at TIMESTAMP_NTZ, code INT, error STRING, commit STRING, kind STRING, day DATE"
+#: What one table holds of effects and attempts; ``commit``, ``kind`` and ``month`` (the first day of the day's) are folders.
+LEDGER = f"{OUTBOX}, at TIMESTAMP_NTZ, code INT, error STRING, day DATE, commit STRING, kind STRING, month DATE"

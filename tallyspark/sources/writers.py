@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 from functools import reduce
@@ -72,22 +73,29 @@ def write_digest(lines: DataFrame, path: str, order: str = "id") -> None:
 
 
 EFFECT, REPORT = "effect", "report"
-#: Files of a day that a write makes at most.
-FILES_A_DAY = 8
 
 
 def _entries(rows: DataFrame, kind: str) -> DataFrame:
     """Rows in the columns of the ledger; what they don't have is null."""
-    fields = [f for f in T.StructType.fromDDL(schemas.LEDGER) if f.name not in ("commit", "kind")]
+    fields = [f for f in T.StructType.fromDDL(schemas.LEDGER) if f.name not in ("commit", "kind", "month")]
     own = {c.lower() for c in rows.columns}
-    return rows.select(F.lit(kind).alias("kind"), *((F.col(f.name) if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    columns = ((F.col(f.name) if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)
+    return rows.select(*columns, F.lit(kind).alias("kind")).withColumn("month", F.trunc("day", "month"))
 
 
-def ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The effects (``effect``) or attempt reports (``report``) of a ledger, committed writes only."""
+def _on_days(first: datetime.date | None, last: datetime.date | None, null: bool) -> Column:
+    """Days from first to last, and null ones if asked for; the months prune folders."""
+    month = F.col("month").between(F.trunc(F.lit(first).cast("date"), "month"), F.trunc(F.lit(last).cast("date"), "month"))
+    return (month & F.col("day").between(F.lit(first), F.lit(last))) | (F.col("month").isNull() & F.lit(null))
+
+
+def ledger(spark: SparkSession, path: str, kind: str, days: tuple[datetime.date, datetime.date] | None = None) -> DataFrame:
+    """The effects (``effect``) or attempt reports (``report``) of a ledger, committed writes only; of some days, first and last,
+    if given, whose folders alone are read."""
     system, folder = folders.opened(path)
     system.create_dir(folder)  # there is a table before the first write, too
     rows = spark.read.schema(schemas.LEDGER).parquet(path).filter(F.col("kind") == kind)
+    rows = rows if days is None else rows.filter(_on_days(*days, False))
     names = T.StructType.fromDDL(schemas.OUTBOX if kind == EFFECT else schemas.REPORT).names
     return rows.select(*names, "day")
 
@@ -96,24 +104,26 @@ def add_to_outbox(rows: DataFrame, path: str, reports: DataFrame | None = None,
     """Add the outbox rows (with ``day``) whose keys aren't there yet, and the attempt reports (K5 to K10), in one
     transaction: all of them appear, or, if a task fails, none. A replay adds nothing, whatever its days.
 
-    The ledger is divided by kind and day, null days included, and only the days of ``rows`` are looked up, as a replay has the days
-    of the first run. A report is another one if its key, time, code or error is. A ``commit`` that is there already is left alone."""
+    The ledger is divided by kind and month, null days included, and only the days of ``rows`` are looked up, as a replay has the
+    days of the first run. A report is another one if its key, time, code or error is. A ``commit`` that is there already is left alone."""
     committed.register(rows.sparkSession)
     entries = [_known_apart(_entries(rows, EFFECT), path, EFFECT, ["key"])]
     if reports is not None:
         days = reports if "day" in reports.columns else reports.withColumn("day", F.col("at").cast("date"))
         entries.append(_known_apart(_entries(days, REPORT), path, REPORT, ["key", "at", "code", "error"]))
-    spread = F.pmod(F.xxhash64("key"), F.lit(FILES_A_DAY))  # few files for each day, and no day in one task
-    new = reduce(DataFrame.unionByName, entries).repartition("kind", "day", spread).sortWithinPartitions("kind", "day")
-    options = {"path": path, "partitionBy": "kind,day"} | ({"commit": commit} if commit else {})
+    # few files for each month; a large one is split among tasks
+    new = reduce(DataFrame.unionByName, entries).hint("rebalance", "kind", "month").sortWithinPartitions("kind", "month", "day")
+    options = {"path": path, "partitionBy": "kind,month"} | ({"commit": commit} if commit else {})
     new.write.format("committed").options(**options).mode("append").save()
 
 
 def _known_apart(entries: DataFrame, path: str, kind: str, same: list[str]) -> DataFrame:
     """The entries, each once, that the ledger doesn't have on their days."""
     first, last, null = entries.agg(F.min("day"), F.max("day"), F.bool_or(F.col("day").isNull())).first()
-    day = F.col("day").between(F.lit(first), F.lit(last)) | (F.col("day").isNull() & F.lit(bool(null)))
-    known = ledger(entries.sparkSession, path, kind).filter(day).select(*(F.col(c).alias(f"_{c}") for c in same))
+    system, folder = folders.opened(path)
+    system.create_dir(folder)
+    there = entries.sparkSession.read.schema(schemas.LEDGER).parquet(path).filter((F.col("kind") == kind) & _on_days(first, last, bool(null)))
+    known = there.select(*(F.col(c).alias(f"_{c}") for c in same))
     equal = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
     return entries.dropDuplicates(same).join(known, equal, "left_anti")
 
