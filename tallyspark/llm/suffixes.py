@@ -40,6 +40,8 @@ HALF, CONTEXT = (WINDOW - GRAM) // 2, 5 * GRAM
 #: Bytes of text for a step, bytes of strings for a bucket, and kinds from which a fingerprint is cut anew (so many
 #: strings fit in a bucket).
 STEP_BYTES, BUCKET_BYTES, HOT_KINDS = 2 << 20, 1 << 19, 512
+#: Kinds that are broadcast at most, and places from which a kind may be.
+HOT_MOST, LEAST_HOT = 20_000, 1000
 #: Suffixes whose keys are in memory at once, about.
 SORT_STEP = 20_000
 #: Windows of a part when a hot fingerprint is cut for the first and for the second time.
@@ -269,7 +271,14 @@ def _several(forms: DataFrame) -> DataFrame:
 
 
 def _copies(listed: DataFrame, forms: DataFrame) -> DataFrame:
-    return listed.join(forms.filter("n > 1").select("print", "kind"), ["print", "kind"], "left_semi").select("id", "digest", "start", "size")
+    """The places of kinds that come more than once. Kinds with so many places that there can be ``HOT_MOST`` of them at most are
+    broadcast, so their places stay where they are; the others' meet by a shuffle, in which none is large."""
+    key, place = ["print", "kind"], ["id", "digest", "start", "size"]
+    several = forms.filter("n > 1").select(*key, "n")
+    hot = F.col("n") >= max(LEAST_HOT, listed.count() // HOT_MOST)
+    crowded = F.broadcast(several.filter(hot).select(*key))
+    usual = listed.join(crowded, key, "left_anti").join(several.filter(~hot).select(*key), key, "left_semi")
+    return listed.join(crowded, key, "left_semi").select(*place).unionByName(usual.select(*place))
 
 
 def _settled(parts: DataFrame, src: DataFrame, widths: tuple[int, ...]) -> DataFrame:

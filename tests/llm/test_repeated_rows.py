@@ -59,8 +59,9 @@ def rows_with_repeats(rng, times):
     return rows
 
 
-@pytest.mark.parametrize("times", [2, 40])
-def test_bytes_of_repeated_rows(spark, times):
+@pytest.mark.parametrize(("times", "hot"), [(2, 1000), (40, 1000), (40, 3)])
+def test_bytes_of_repeated_rows(spark, times, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "LEAST_HOT", hot)
     rows = rows_with_repeats(random.Random(times), times)
     got = suffixes.dedup_bytes(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
     assert Counter(map(tuple, got)) == cut_bytes(rows)
