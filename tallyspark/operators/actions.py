@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 
+#: Bytes of a part of an attachment: a multiple of three, so that the base64 texts of parts can be joined.
+PART_BYTES = 3 << 20
 
 # The property names and kinds in the payloads below are those of the task tracker's pages.
 
@@ -76,13 +82,53 @@ def with_attachments(mails: DataFrame, files: DataFrame, path: str = "path") ->
     return rows.withColumn("filename", F.when(F.col("data").isNotNull(), text.basename(F.col(path)))).drop("_path")
 
 
-def mail_payload(to: Column, subject: Column, body: Column, attachment: Column | None = None, filename: Column | None = None, data: Column | None = None) -> Column:
-    """JSON of a mail with its base64url body, and an attachment's path and name, or its name and data (K8, K9)."""
+def with_attachment_parts(mails: DataFrame, files: DataFrame, path: str = "path", size: int = PART_BYTES) -> DataFrame:
+    """``with_attachments`` for files of any length, unread: a row for each part of ``size`` bytes of a mail's file, with ``filename``,
+    ``file``, ``part`` (from 0) and ``parts``; a mail without a file keeps one row, with nulls, and an empty file has one part. No row
+    stands for more than a part, so payloads stay below the 20,000,000 characters beyond which ``get_json_object`` gives null.
+    ``files`` has path and length; ``readers.with_part_contents`` reads the parts."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    parts = F.greatest(F.ceil(F.col("length") / size).cast("long"), F.lit(1).cast("long"))
+    found = files.select(plain(F.col("path")).alias("_path"), F.col("path").alias("file"), parts.alias("parts")).dropDuplicates(["_path"])
+    rows = mails.join(found, plain(F.col(path)) == F.col("_path"), "left").withColumn("filename", F.when(F.col("file").isNotNull(), text.basename(F.col(path))))
+    return rows.withColumn("part", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("_path")
+
+
+def part_digests(rows: DataFrame, key: str, part: str, content: str) -> DataFrame:
+    """(key, sha256) of the contents of each key's parts, joined in order; null without any. SHA-256 takes bytes one after another, so a
+    file is a task's work, which holds some parts at a time and never the whole file."""
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("-1", str((1 << 63) - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    kind = rows.schema[key].dataType.simpleString()
+    placed = rows.select(F.col(key).alias("key"), F.col(part).alias("part"), F.col(content).alias("content")).repartition("key").sortWithinPartitions("key", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state = kept = None  # a key, its digest so far, and the type of keys
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], kept), pa.array([state.hexdigest() if state else None], pa.string())], ["key", "sha256"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch["key"][k].as_py()
+                if kept is None or own != now:
+                    if kept is not None:
+                        yield told()
+                    now, state, kept = own, None, batch["key"].type
+                if batch["content"][k].is_valid:
+                    state = state or hashlib.sha256()
+                    state.update(batch["content"][k].as_buffer())
+        if kept is not None:
+            yield told()
+
+    return placed.mapInArrow(run, f"key {kind}, sha256 string").withColumnRenamed("key", key)
+
+
+def mail_payload(to: Column, subject: Column, body: Column, attachment: Column | None = None, filename: Column | None = None, data: Column | None = None, part: Column | None = None) -> Column:
+    """JSON of a mail with its base64url body, and an attachment's path and name, or its name and data, or a ``part`` of those (K8, K9)."""
     cols = [to.alias("to"), subject.alias("subject"), text.to_base64url(body).alias("raw")]
     if attachment is not None:
         cols += [attachment.alias("path"), text.basename(attachment).alias("filename")]
     elif data is not None:
-        cols += [filename.alias("filename"), data.alias("data")]
+        cols += [filename.alias("filename"), data.alias("data"), *([] if part is None else [part.alias("part")])]
     return F.to_json(F.struct(*cols))
 
 

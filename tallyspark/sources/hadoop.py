@@ -26,6 +26,12 @@ def matches(spark: SparkSession, pattern: str) -> bool:
     return bool(system.globStatus(at))
 
 
+def lengths(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, length) of the files that have this path or fit this pattern."""
+    _, at, system = _opened(spark, pattern)
+    return [(s.getPath().toString(), s.getLen()) for s in system.globStatus(at) or [] if s.isFile()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     _, at, system = _opened(spark, path)
     system.delete(at, True)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark import schemas
-from tallyspark.operators import metrics, predicates
-from tallyspark.sources import hadoop
+from tallyspark.operators import actions, metrics, predicates
+from tallyspark.sources import folders, hadoop
+
 
 
 def task_pages(spark: SparkSession, path: str, on_error: str = "raise", limit: int | None = None, missing: str = "empty", multi_line: bool = True) -> DataFrame:
@@ -50,3 +55,26 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     if not hadoop.matches(spark, path):
         return spark.createDataFrame([], "path string, length long, content binary")
     return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(path).select("path", "length", "content")
+
+
+def attachment_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of files of any length, for a path or a pattern, unread, empty ones too; none if there is no such file."""
+    return spark.createDataFrame(hadoop.lengths(spark, path), "path string, length long")
+
+
+def with_part_contents(rows: DataFrame, size: int = actions.PART_BYTES) -> DataFrame:
+    """Rows of ``actions.with_attachment_parts`` with each part's bytes (``content``), which tasks read one part at a time; null
+    where there is no file. Paths are ones that pyarrow has a file system for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row, data = batch.slice(k, 1), None
+                if (path := row["file"][0].as_py()) is not None:
+                    system, at = folders.opened(path)
+                    with system.open_input_file(at) as file:
+                        data = file.read_at(size, row["part"][0].as_py() * size)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "content"])
+
+    fields = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "file", "part").mapInArrow(run, fields)

@@ -3,10 +3,12 @@
 import base64
 import csv
 import datetime
+import hashlib
 import io
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,24 @@ def test_timed_trigger(spark, tmp_path):
     finally:
         query.stop()
     assert schemas.REPORT
+
+
+def test_attachments_of_any_length(spark, tmp_path):
+    """A log whose base64 text has more than 20,000,000 characters, and parts of small, empty and missing files."""
+    from tallyspark.plans import queries
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT o.* REPLACE (o_orderkey + 1000000 * k AS o_orderkey) FROM '/root/testdata/sf0.001/orders.parquet' o, range(230) t(k)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    assert sorted(map(tuple, queries.task_log_mail(spark, str(tmp_path)).collect())) == sorted(con.sql(queries.ORACLE_SQL["task_log_mail"]).fetchall())
+
+    (tmp_path / "a.csv").write_bytes(b"0123456789")
+    (tmp_path / "b.csv").write_bytes(b"")
+    mails = spark.createDataFrame([(k, p and f"{tmp_path}/{p}.csv") for k, p in enumerate(("a", "b", "gone", None, "a"))], "mail int, path string")
+    rows = readers.with_part_contents(actions.with_attachment_parts(mails, readers.attachment_files(spark, f"{tmp_path}/*.csv"), size=3), size=3)
+    got = sorted(tuple(r) for r in rows.select("mail", "filename", "part", "parts", "content").collect())
+    a = [("a.csv", k, 4, bytearray(b"0123456789"[3 * k : 3 * k + 3])) for k in range(4)]
+    assert got == [(0, *r) for r in a] + [(1, "b.csv", 0, 1, bytearray())] + [(2, None, None, None, None), (3, None, None, None, None)] + [(4, *r) for r in a]
+    digests = {r.mail: r.sha256 for r in actions.part_digests(rows, "mail", "part", "content").collect()}
+    whole = hashlib.sha256(b"0123456789").hexdigest()
+    assert digests == {0: whole, 1: hashlib.sha256(b"").hexdigest(), 2: None, 3: None, 4: whole}
