@@ -47,6 +47,20 @@ def test_responses(spark, captured):
     assert [r.id for r in read(limit=1).orderBy("response").collect()] == ["p0", "p5", "p10", "p15"]
 
 
+def test_many_responses_share_partitions(spark, tmp_path):
+    """Tasks don't grow with the number of files; limits, broken responses and names stay those of a file."""
+    for n in range(1000):
+        (tmp_path / f"r{n:04d}.json").write_text("{oops" if n % 10 == 3 else json.dumps({"results": [{"id": f"{n}-{k}", "last_edited_time": str(n)} for k in range(3)]}))
+    responses.register(spark)
+    read = spark.read.format("responses").options(path=str(tmp_path), onError="empty", limit=2).load()
+    assert read.rdd.getNumPartitions() == 250
+    want = sorted((f"r{n:04d}.json", f"{n}-{k}", str(n)) for n in range(1000) if n % 10 != 3 for k in range(2))
+    assert sorted(tuple(r) for r in read.select("response", "id", "edited").collect()) == want
+    assert read.filter("edited IS NULL").count() == 0
+    with pytest.raises(Exception, match="isn't JSON: .*r0..3.json"):
+        spark.read.format("responses").option("path", str(tmp_path)).load().collect()
+
+
 def test_responses_that_are_none(spark, captured):
     (captured / "x.json").write_text('{"object": "error"}')
     read = lambda **more: spark.read.format("responses").options(path=str(captured), **more).load()
