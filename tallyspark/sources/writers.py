@@ -119,10 +119,15 @@ def add_to_outbox(rows: DataFrame, path: str, reports: DataFrame | None = None,
 
 def _known_apart(entries: DataFrame, path: str, kind: str, same: list[str]) -> DataFrame:
     """The entries, each once, that the ledger doesn't have on their days."""
-    first, last, null = entries.agg(F.min("day"), F.max("day"), F.bool_or(F.col("day").isNull())).first()
+    facts = [F.min("day"), F.max("day"), F.bool_or(F.col("day").isNull())]
+    timed = [F.min("at"), F.max("at"), F.bool_or(F.col("at").isNull())] if "at" in same else []
+    first, last, null, *times = entries.agg(*facts, *timed).first()
     system, folder = folders.opened(path)
     system.create_dir(folder)
     there = entries.sparkSession.read.schema(schemas.LEDGER).parquet(path).filter((F.col("kind") == kind) & _on_days(first, last, bool(null)))
+    if times:  # an equal report has an equal time: the reports of other rounds are skipped as they are read
+        begin, end, untimed = times
+        there = there.filter(F.col("at").between(F.lit(begin), F.lit(end)) | (F.col("at").isNull() & F.lit(bool(untimed))))
     known = there.select(*(F.col(c).alias(f"_{c}") for c in same))
     equal = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
     return entries.dropDuplicates(same).join(known, equal, "left_anti")

@@ -221,3 +221,16 @@ def test_rounds_of_delivery(spark, tmp_path):
     for k in range(1, 5):
         agent.deliver(spark, path, connector, F.lit(f"2024-01-01 00:0{k}:00"))
     assert state() == {"k0": ("sent", 1, None), "k1": ("failed", 3, "ValueError: no such page"), "k2": ("sent", 2, "later"), **{f"k{k}": ("sent", 1, None) for k in (3, 4, 5)}}
+
+
+def test_reports_of_other_rounds_are_not_compared(spark, tmp_path):
+    """An equal report has an equal time, so only reports of the new ones' times are read to find those that are there."""
+    ledger, at = str(tmp_path / "ledger"), lambda n: datetime.datetime(2024, 1, 1, 0, n)
+    told = lambda *rows: spark.createDataFrame([(*r, datetime.date(2024, 1, 1)) for r in rows], f"{schemas.REPORT}, day date")
+    effects = spark.createDataFrame([], f"{schemas.OUTBOX}, day date")
+    writers.add_to_outbox(effects, ledger, told(("a", at(1), 500, None), ("b", None, None, "x")))
+    new = told(("a", at(1), 500, None), ("a", at(2), 500, None), ("a", at(2), 500, None), ("b", None, None, "x"), ("c", None, None, "x"))
+    apart = writers._known_apart(writers._entries(new, writers.REPORT), ledger, writers.REPORT, ["key", "at", "code", "error"])
+    assert sorted((r.key, r["at"]) for r in apart.collect()) == [("a", at(2)), ("c", None)]
+    later = writers._known_apart(writers._entries(told(("a", at(2), 500, None)), writers.REPORT), ledger, writers.REPORT, ["key", "at", "code", "error"])
+    assert ">= 2024-01-01 00:02:00" in later._jdf.queryExecution().optimizedPlan().toString()
