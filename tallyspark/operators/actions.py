@@ -98,8 +98,9 @@ def part_digests(rows: DataFrame, key: str, part: str, content: str) -> DataFram
     """(key, sha256) of the contents of each key's parts, joined in order; null without any. SHA-256 takes bytes one after another, so a
     file is a task's work, which holds some parts at a time and never the whole file."""
     spark = rows.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("-1", str((1 << 63) - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound, "2147483647")) == 2147483647:  # parts are large rows
+        spark.conf.set(bound, str(8 << 20))
     kind = rows.schema[key].dataType.simpleString()
     placed = rows.select(F.col(key).alias("key"), F.col(part).alias("part"), F.col(content).alias("content")).repartition("key").sortWithinPartitions("key", "part")
 
