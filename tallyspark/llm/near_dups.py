@@ -17,9 +17,12 @@ confirms make components. Then, in each bucket of up to ``MOST`` nodes, all node
 Larger buckets come from passages that very many texts share, and from very large groups of near copies. Texts with more than
 ``CROWDED`` keys in such buckets are sketched again, by the k-mers that their hub does not have: what they share with
 another text beside the passage. As that is little and rare, each of the ``SAMPLES`` least is a key by itself. That is done
-``ROUNDS`` times. No list of pairs grows with the square of a group, and each
-round is in proportion to the texts it takes. With ``exhaustive``, all nodes of different components in buckets of any size
-meet: the exact way for large buckets, whose work does grow with their square.
+``ROUNDS`` times.
+
+The rest of larger buckets is exact: all texts of such buckets that have the words in common that a link needs, and are not in one
+component yet, are aligned (``_rare``, ``_across``). Words that very many texts share don't bring texts together unless they are more
+than ``threshold`` of them; the work grows with the pairs that share rare words. With ``exhaustive``, all nodes of
+different components in buckets of any size meet instead, without regard to their words.
 
 A pair is linked if its word edit similarity, 1 - distance / words of the longer text, is at least
 ``threshold`` (0.8).
@@ -34,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, free_name, joined, mix, rolling, store, table
@@ -48,6 +51,8 @@ SHORT, SHORT_K = 160, 3
 MOST, ROUNDS = 64, 2
 #: Keys in larger buckets from which a text is sketched again.
 CROWDED = SAMPLES // 8
+#: Rare words that texts of larger buckets must share to be compared.
+COMMON = 4
 THRESHOLD = 0.8
 #: Rows of the alignment for which a word has one mask.
 MASK = 1024
@@ -218,6 +223,65 @@ def _beside(text: str, hub: str, salt: int, threshold: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _labelled(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, labelled with their occurrence."""
+    h = _words(text).hashes()
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    label = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
+    return np.where(label > 0, mix(ordered + label.astype(U64)), ordered).view(np.int64)
+
+
+def _rare(crowd: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, node) by which all texts of ``crowd`` (node) that can be similar meet.
+
+    An edit changes one word, so texts with an edit similarity of ``threshold`` or more have at least that part of the longer one's
+    words in common. If each text's words are put in one order, the rarest first, two such texts share ``COMMON`` of the first that
+    exceed what may differ by so many (or all they must, if that is less): those are the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                own = _labelled(text)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), len(own), np.int32))], ["key", "node", "n"])
+
+    held = store(texts.join(crowd, "node").select("node", "text").mapInArrow(run, "key long, node long, n int"), "held")
+    # of words that one text has, only their number counts
+    shared = store(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
+    ranked = held.join(shared, "key").withColumn("behind", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("key"))))
+    return ranked.filter(F.col("behind") > _same(F.col("n"), threshold) - _fewest(F.col("n"), threshold)).select("key", "node")
+
+
+def _same(n: Column, threshold: float) -> Column:
+    """Words that a text of ``n`` words has in common with each that is similar."""
+    return F.ceil(threshold * n - 1e-6)
+
+
+def _fewest(n: Column, threshold: float) -> Column:
+    return F.least(_same(n, threshold), F.lit(COMMON))
+
+
+def _across(rows: DataFrame, sizes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """``_meetings`` of the rows of ``_rare``: pairs of different components that share as many keys as they must.
+
+    The components of a key are numbered, and two numbers meet at the highest bit in which they differ, so that no pair
+    inside a component, however large, is ever made."""
+    facts = sizes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "n_words", F.coalesce("component", "node").alias("comp"))
+    placed = store(rows.join(facts, "node"), "rare")
+    numbered = placed.select("key", "comp").distinct().withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("comp")) - 1)
+    several = numbered.groupBy("key").agg(F.max("number").alias("last")).filter("last > 0")
+    bits = F.length(F.bin(F.col("last").cast("long")))
+    split = placed.join(numbered.join(several, "key"), ["key", "comp"]).withColumn("bit", F.explode(F.sequence(F.lit(0), bits - 1)))
+    split = split.withColumns({"side": F.expr("shiftright(number, bit) & 1"), "above": F.expr("shiftright(shiftright(number, bit), 1)")})
+    split = store(split.select("key", "bit", "above", "side", "node", "comp", "n_words"), "split")
+    other = split.filter("side = 1").select("key", "bit", "above", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"))
+    pairs = split.filter("side = 0").select("key", "bit", "above", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_words").alias("na")).join(other, ["key", "bit", "above"])
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    counted = pairs.filter(near).groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("na", "nb")).alias("n"))
+    return counted.filter(F.col("common") >= _fewest(F.col("n"), threshold)).select("a", "b", "ca", "cb")
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -319,6 +383,7 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, exha
     buckets = _buckets(nodes.select("node", "keys"))
     wanted = firsts.join(buckets.select(F.col("node").alias("id")).distinct(), "id")
     texts = store(src.join(wanted, ["id", "digest"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"]), "texts")
+    crowd = store(buckets.filter(F.col("size") > most).select("node").distinct(), "crowd")
     links, small = [], []
     for salt in range(1, ROUNDS + 2):
         small.append(buckets.filter(F.col("size") <= most).select("key", "node"))
@@ -329,7 +394,11 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, exha
             break
         buckets = _buckets(again.select(F.col("b").alias("node"), "keys"))
     comps = components(reduce(DataFrame.unionByName, links))
-    more = components(_confirm(_meetings(reduce(DataFrame.unionByName, small), nodes.select("node", "n_words"), comps, threshold), texts, threshold))
+    sizes = nodes.select("node", "n_words")
+    pairs = _meetings(reduce(DataFrame.unionByName, small), sizes, comps, threshold)
+    if not crowd.isEmpty():
+        pairs = store(pairs.unionByName(_across(_rare(crowd, texts, threshold), sizes, comps, threshold)).distinct(), "pairs")
+    more = components(_confirm(pairs, texts, threshold))
     comps = _merged(comps, more)
     out = members.join(comps.withColumnRenamed("id", "node"), "node", "left")
     return out.select("id", "digest", F.coalesce("component", "node").alias("class"))

@@ -103,3 +103,30 @@ def test_pairs_inside_large_buckets(spark):
         link = len(texts)
         add(nxt, start)
     assert classes(spark, texts) == want
+
+
+def test_pairs_of_hot_passages_only(spark, monkeypatch):
+    """Texts put together from passages that very many have: no key of a near pair is rare, and its texts are far from leads and
+    hubs. Rare words bring together all that buckets leave apart; classes are those of all pairs."""
+    monkeypatch.setattr(near_dups, "MOST", 1)
+    rng = random.Random(11)
+    slots, far = [(fresh(rng, 8), fresh(rng, 8)) for _ in range(16)], lambda x, y: (x ^ y).bit_count() > 3  # 3 slots of 16: 0.81
+    codes = []
+    while len(codes) < 120:
+        x = rng.randrange(1 << 16)
+        if all(far(x, y) for y in codes):
+            codes.append(x)
+    want = dict(enumerate(range(120)))
+    for k, x in enumerate(codes[:120]):
+        for _ in range(20):
+            y = x ^ 1 << rng.randrange(16) ^ 1 << rng.randrange(16)
+            if y != x and all(far(y, z) for z in codes if z != x):
+                want[len(codes)] = k
+                codes.append(y)
+                break
+    texts = [sum((slots[s][x >> s & 1] for s in range(16)), []) for x in codes]
+    assert len(texts) > 130
+    got = classes(spark, texts)
+    assert got == want
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dups.keep_first(df).collect()) == list(range(120))
