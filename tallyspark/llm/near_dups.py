@@ -21,8 +21,13 @@ another text beside the passage. As that is little and rare, each of the ``SAMPL
 
 The rest of larger buckets is exact: all texts of such buckets that have the words in common that a link needs, and are not in one
 component yet, are aligned (``_rare``, ``_across``). Words that very many texts share don't bring texts together unless they are more
-than ``threshold`` of them; the work grows with the pairs that share rare words. With ``exhaustive``, all nodes of
-different components in buckets of any size meet instead, without regard to their words.
+than ``threshold`` of them. Similar texts stand side by side in blocks, and a rare word joins the blocks that have it, not their texts:
+the rows grow with the square of a group's blocks. Inside a pair of blocks, arrays count the words in common, and texts that share
+enough are aligned where both blocks are, until their components are linked; only links leave it. With ``exhaustive``, all nodes of
+different components in buckets of any size meet instead, without regard to their rare words.
+
+Before texts are fetched for an alignment in a smaller bucket, ``PARITY`` bits of each tell most pairs apart that lack the words in common that
+a link needs: an edit changes few of them, so no link is lost.
 
 A pair is linked if its word edit similarity, 1 - distance / words of the longer text, is at least
 ``threshold`` (0.8).
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, free_name, joined, mix, rolling, store, table
+from .common import U64, Words, free_name, joined, mix, ranked, rolling, store, table
 from .components import components
 
 K = 5
@@ -53,10 +58,17 @@ MOST, ROUNDS = 64, 2
 CROWDED = SAMPLES // 8
 #: Rare words that texts of larger buckets must share to be compared.
 COMMON = 4
+#: Texts of a block, and bytes of a text (as a power of 2) from which on a block has half as many for each further power.
+BLOCK, BLOCK_LONG = 256, 12
+#: Pairs of texts of two blocks that a row carries: what a task aligns at once.
+STEP_PAIRS = 1 << 13
+#: 64-bit words of the parities of a text's words.
+PARITY = 4
 THRESHOLD = 0.8
 #: Rows of the alignment for which a word has one mask.
 MASK = 1024
 STEP_BYTES = 2 << 20
+BITS = [f"bits{k}" for k in range(PARITY)]
 #: Numbers of texts whose id is null start here.
 NAMELESS = 1 << 62
 
@@ -165,12 +177,17 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 def similar(left: bytes, right: bytes, threshold: float) -> bool:
     """Whether word edit similarity reaches the threshold; texts without words are similar to each other."""
-    a, b = left.split(), right.split()
+    return _similar_words(left.split(), right.split(), threshold)
+
+
+def _similar_words(a: list, b: list, threshold: float, bags: tuple[Counter, Counter] | None = None) -> bool:
+    """``similar`` of two texts' words (and their numbers by word, if known)."""
     longer = max(len(a), len(b))
     most = int((1 - threshold) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    shared = sum((Counter(a) & Counter(b)).values())
+    x, y = bags or (Counter(a), Counter(b))
+    shared = sum((x & y).values())
     if longer - shared > most:
         return False
     head = 0
@@ -209,6 +226,17 @@ def _keys(words: Words, threshold: float) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held.sum(1))].astype(np.int32)), pa.array(keys[held].view(np.int64)))
 
 
+def _parities(words: Words) -> np.ndarray:
+    """For each text, whether the number of its words with each of 64 * ``PARITY`` hashes is odd, as bits. Texts that differ in as many bits have
+    at least as many words that are not in common."""
+    n = len(words.bounds) - 1
+    out = np.zeros(n * PARITY, U64)
+    bit = mix(words.hashes() ^ U64(PARITY)) % U64(64 * PARITY)
+    at = np.repeat(np.arange(n), np.diff(words.bounds)) * PARITY + (bit >> U64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, U64(1) << (bit & U64(63)))
+    return out.reshape(n, PARITY)
+
+
 def _words(text: str | None) -> Words:
     return Words(data=np.frombuffer((text or "").encode(), np.uint8))
 
@@ -246,7 +274,7 @@ def _rare(crowd: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 own = _labelled(text)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), len(own), np.int32))], ["key", "node", "n"])
 
-    held = store(texts.join(crowd, "node").select("node", "text").mapInArrow(run, "key long, node long, n int"), "held")
+    held = store(texts.join(crowd, "node").select("node", "text").mapInArrow(run, "key long, node long, n int"), "words")
     # of words that one text has, only their number counts
     shared = store(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
     ranked = held.join(shared, "key").withColumn("behind", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("key"))))
@@ -262,24 +290,85 @@ def _fewest(n: Column, threshold: float) -> Column:
     return F.least(_same(n, threshold), F.lit(COMMON))
 
 
-def _across(rows: DataFrame, sizes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """``_meetings`` of the rows of ``_rare``: pairs of different components that share as many keys as they must.
-
-    The components of a key are numbered, and two numbers meet at the highest bit in which they differ, so that no pair
-    inside a component, however large, is ever made."""
+def _blocks(crowd: DataFrame, texts: DataFrame, sizes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(block, at, node, comp, n_words) of the nodes of ``crowd`` (node, main): texts of about one size, one largest bucket and one
+    component stand side by side, up to ``BLOCK`` in a block."""
     facts = sizes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "n_words", F.coalesce("component", "node").alias("comp"))
-    placed = store(rows.join(facts, "node"), "rare")
-    numbered = placed.select("key", "comp").distinct().withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("comp")) - 1)
-    several = numbered.groupBy("key").agg(F.max("number").alias("last")).filter("last > 0")
-    bits = F.length(F.bin(F.col("last").cast("long")))
-    split = placed.join(numbered.join(several, "key"), ["key", "comp"]).withColumn("bit", F.explode(F.sequence(F.lit(0), bits - 1)))
-    split = split.withColumns({"side": F.expr("shiftright(number, bit) & 1"), "above": F.expr("shiftright(shiftright(number, bit), 1)")})
-    split = store(split.select("key", "bit", "above", "side", "node", "comp", "n_words"), "split")
-    other = split.filter("side = 1").select("key", "bit", "above", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"))
-    pairs = split.filter("side = 0").select("key", "bit", "above", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_words").alias("na")).join(other, ["key", "bit", "above"])
-    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    counted = pairs.filter(near).groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("na", "nb")).alias("n"))
-    return counted.filter(F.col("common") >= _fewest(F.col("n"), threshold)).select("a", "b", "ca", "cb")
+    size = F.floor(F.log2(F.octet_length("text") + 1)).cast("long")
+    placed = crowd.join(texts.select("node", size.alias("power")), "node").join(facts, "node")
+    width = F.greatest(F.lit(1), F.expr(f"shiftright({BLOCK}, int(greatest(power - {BLOCK_LONG - 1}, 0)))"))
+    block = F.shiftleft("power", 48) + F.floor(F.col("rank") / width)
+    placed = ranked(placed, "power", "main", "comp", "node").select(block.alias("block"), (F.col("rank") % width).cast("int").alias("at"), "node", "comp", "n_words")
+    return store(placed, "blocks")
+
+
+def _across(rows: DataFrame, blocks: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of ``blocks``: all texts of different components that share as many keys of
+    ``rows`` (``_rare``) as they must are aligned, unless their components are linked by others of the two blocks."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "n_words") for f in (F.min, F.max)]
+    held = store(rows.join(blocks, "node").groupBy("key", "block").agg(F.collect_list("at").alias("at"), *ends), "held")
+    x, y = (held.select("key", *(F.col(c).alias(f"{side}_{c}") for c in held.columns[1:])) for side in "xy")
+    several = F.least("x_min_comp", "y_min_comp") < F.greatest("x_max_comp", "y_max_comp")
+    near = (F.col("x_max_n_words") >= threshold * F.col("y_min_n_words") - 1e-9) & (F.col("y_max_n_words") >= threshold * F.col("x_min_n_words") - 1e-9)
+    met = x.join(y, "key").filter((F.col("x_block") <= F.col("y_block")) & several & near)
+    met = met.select("x_block", "y_block", "x_at", "y_at", F.least("x_min_n_words", "y_min_n_words").alias("n"))
+
+    def count(tile: pa.Table) -> pa.Table:
+        common = np.zeros((BLOCK, BLOCK), np.int32)
+        for p, q in zip(tile["x_at"].to_pylist(), tile["y_at"].to_pylist(), strict=True):
+            common[np.ix_(p, q)] += 1
+        ids = [tile[c][0].as_py() for c in ("x_block", "y_block")]
+        if ids[0] == ids[1]:
+            common = np.triu(common, 1)
+        fewest = min(COMMON, math.ceil(threshold * min(tile["n"].to_pylist()) - 1e-6))
+        p, q = np.nonzero(common >= max(fewest, 1))
+        first = np.argsort(-common[p, q], kind="stable")  # the likeliest links
+        steps = range(0, len(p), STEP_PAIRS)
+        cols = [[i] * len(steps) for i in ids] + [[v[first[k : k + STEP_PAIRS]] for k in steps] for v in (p, q)]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("x_block", "y_block", "x_at", "y_at"), cols, [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2, strict=True)})
+
+    tiles = store(met.groupBy("x_block", "y_block").applyInArrow(count, "x_block long, y_block long, x_at array<int>, y_at array<int>"), "tiles")
+    wanted = tiles.select(F.explode(F.array("x_block", "y_block")).alias("block")).distinct()
+    full = blocks.join(wanted, "block", "left_semi").join(texts, "node").groupBy("block").agg(F.collect_list(F.struct("at", "comp", "text")).alias("rows"))
+    full = store(full, "full")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = _linked(batch.slice(k, 1).to_pylist()[0], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for side in "xy":
+        tiles = tiles.join(full.select(F.col("block").alias(f"{side}_block"), F.col("rows").alias(f"{side}_rows")), f"{side}_block")
+    return tiles.select("x_at", "y_at", "x_rows", "y_rows").mapInArrow(link, "a long, b long").distinct()
+
+
+def _linked(tile: dict, threshold: float) -> list[tuple[int, int]]:
+    """Links between the components of two blocks' texts: their candidates (x_at, y_at) are aligned in that order, but for those whose
+    components are linked already."""
+    sides = [{r["at"]: r for r in tile[f"{side}_rows"]} for side in "xy"]
+    up, links = {}, []
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    def words(r: dict) -> tuple[list, Counter]:
+        if "words" not in r:
+            r["words"] = own = (r["text"] or "").encode().split()
+            r["bag"] = Counter(own)
+        return r["words"], r["bag"]
+
+    for p, q in zip(tile["x_at"], tile["y_at"], strict=True):
+        x, y = sides[0][p], sides[1][q]
+        c, d = top(x["comp"]), top(y["comp"])
+        if c != d:
+            (a, bag), (b, other) = words(x), words(y)
+            if _similar_words(a, b, threshold, (bag, other)):
+                links.append((x["comp"], y["comp"]))
+                up[max(c, d)] = min(c, d)
+    return links
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -341,13 +430,16 @@ def _first_pairs(buckets: DataFrame, most: int) -> DataFrame:
 
 def _meetings(rows: DataFrame, sizes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, ca, cb): pairs of rows (key, node) of one bucket and different components whose lengths allow a link."""
-    facts = sizes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "n_words", F.coalesce("component", "node").alias("comp"))
+    facts = sizes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "n_words", F.coalesce("component", "node").alias("comp"), *BITS)
     placed = rows.join(facts, "node")
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     placed = store(placed.join(several, "key"), "mixed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"))
-    pairs = placed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_words").alias("na")).join(other, "key")
+    other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_words").alias("nb"), *(F.col(c).alias(f"{c}_b") for c in BITS))
+    pairs = placed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_words").alias("na"), *BITS).join(other, "key")
     near = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    # words that one of the two has more of: at least as many as parities that differ
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in BITS))
+    near &= apart <= F.col("na") + F.col("nb") - 2 * _same(F.greatest("na", "nb"), threshold)
     return pairs.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
 
 
@@ -369,21 +461,22 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, exha
         for batch in joined(batches, limit=STEP_BYTES):
             words = Words(batch["text"])
             n = np.diff(words.bounds).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(n), _keys(words, threshold)], ["id", "digest", "n_words", "keys"])
+            bits = [pa.array(c) for c in _parities(words).view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(n), _keys(words, threshold), *bits], ["id", "digest", "n_words", "keys", *BITS])
 
-    rows = store(src.mapInArrow(sketched, "id long, digest binary, n_words int, keys array<long>"), "sketches")
+    rows = store(src.mapInArrow(sketched, "id long, digest binary, n_words int, keys array<long>" + "".join(f", {c} long" for c in BITS)), "sketches")
     ids = store(rows.groupBy("id").agg(F.min("digest").alias("digest")), "ids")
     # of texts with copies, the least id is the node; a table, so that the join below can split a text with very many
     copied = store(ids.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copied")
     members = store(ids.join(copied, "digest", "left").select("id", "digest", F.coalesce("node", "id").alias("node")), "members")
     firsts = members.filter("id = node").select("id", "digest")
     nodes = rows.join(firsts, ["id", "digest"], "left_semi").filter("n_words > 0")
-    nodes = nodes.select(F.col("id").alias("node"), "n_words", "keys").dropDuplicates(["node"])
+    nodes = nodes.select(F.col("id").alias("node"), "n_words", "keys", *BITS).dropDuplicates(["node"])
 
     buckets = _buckets(nodes.select("node", "keys"))
     wanted = firsts.join(buckets.select(F.col("node").alias("id")).distinct(), "id")
     texts = store(src.join(wanted, ["id", "digest"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"]), "texts")
-    crowd = store(buckets.filter(F.col("size") > most).select("node").distinct(), "crowd")
+    crowd = store(buckets.filter(F.col("size") > most).groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("main")), "crowd")
     links, small = [], []
     for salt in range(1, ROUNDS + 2):
         small.append(buckets.filter(F.col("size") <= most).select("key", "node"))
@@ -394,11 +487,11 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, exha
             break
         buckets = _buckets(again.select(F.col("b").alias("node"), "keys"))
     comps = components(reduce(DataFrame.unionByName, links))
-    sizes = nodes.select("node", "n_words")
-    pairs = _meetings(reduce(DataFrame.unionByName, small), sizes, comps, threshold)
+    sizes = nodes.select("node", "n_words", *BITS)
+    links = _confirm(_meetings(reduce(DataFrame.unionByName, small), sizes, comps, threshold), texts, threshold)
     if not crowd.isEmpty():
-        pairs = store(pairs.unionByName(_across(_rare(crowd, texts, threshold), sizes, comps, threshold)).distinct(), "pairs")
-    more = components(_confirm(pairs, texts, threshold))
+        links = links.unionByName(_across(_rare(crowd, texts, threshold), _blocks(crowd, texts, sizes, comps), texts, threshold))
+    more = components(links)
     comps = _merged(comps, more)
     out = members.join(comps.withColumnRenamed("id", "node"), "node", "left")
     return out.select("id", "digest", F.coalesce("component", "node").alias("class"))

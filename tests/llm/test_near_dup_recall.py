@@ -130,3 +130,32 @@ def test_pairs_of_hot_passages_only(spark, monkeypatch):
     assert got == want
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dups.keep_first(df).collect()) == list(range(120))
+
+
+def test_texts_fetched_for_a_group_far_from_its_hub(spark, monkeypatch):
+    """A text's copies with a twelfth of their words changed, and others with nearly a third, which link with none of them though they share rare
+    words. Four times the texts make about four times the rows that fetch texts, not sixteen times."""
+    monkeypatch.setattr(near_dups, "MOST", 8)
+    made, store, fetch = [], near_dups.store, near_dups._with_texts
+
+    def counted(df, name):
+        out = store(df, name)
+        made.extend([out.count()] * (name == "tiles"))
+        return out
+
+    monkeypatch.setattr(near_dups, "store", counted)
+    monkeypatch.setattr(near_dups, "_with_texts", lambda pairs, texts: made.append(pairs.count()) or fetch(pairs, texts))
+    rng, rows = random.Random(12), []
+    few = [f"w{k}" for k in range(60)]
+    base = [rng.choice(few) for _ in range(120)]
+    for n in (60, 240):
+        texts, shares = [], (10, 36)
+        for k in range(n):
+            out = list(base)
+            for at in rng.sample(range(120), shares[k % 2]):
+                out[at] = rng.choice(few)
+            texts.append(out)
+        made.clear()
+        assert classes(spark, texts) == {k: k if k % 2 else 0 for k in range(n)}
+        rows.append(sum(made))
+    assert rows[1] < 6 * rows[0], rows
